@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import line_dedup, simhash
-from strideframe.llm.common import table
+from strideframe.llm import ann, langid, line_dedup, ogg, packing, simhash, toxicity
+from strideframe.llm.common import held_out, table, text_or_empty
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizers are installed; every operator takes the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = text_or_empty("text")
+    stored = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), ogg.store(text).alias("media"))
+    return stored.select("doc_id", "n_bytes", ogg.summary("media").alias("s")).select("doc_id", "n_bytes", "s.*")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +29,33 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), labels).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op8_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out("doc_id", 3, 1)))
+    said = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), langid.predicted(model, spark, F.col("text")).alias("s"))
+    return said.select("doc_id", "held_out", "s.lang_pred", "s.score", "s.languages")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op9_simhash)}
+    return {f.__name__: f for f in (op1_ogg, op2_line_dedup, op4_packing, op6_toxicity, op8_collision_search, op9_simhash, op10_language_id)}
 
 
 OP2_SQL = r"""

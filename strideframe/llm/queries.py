@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import ann, langid, line_dedup, ogg, packing, simhash, toxicity
+from strideframe.llm import ann, langid, licenses, line_dedup, ogg, packing, pii, simhash, toxicity
 from strideframe.llm.common import held_out, table, text_or_empty
 
 
@@ -29,10 +29,21 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base.getField("kind"), pii.equals(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.joined_spans(base), 256).alias("base_sha256"), pii.joined_spans(F.col("spans")).alias("spans"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
     return toxicity.score_documents(table(spark, sf_dir, "documents"), labels).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
@@ -55,7 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ogg, op2_line_dedup, op4_packing, op6_toxicity, op8_collision_search, op9_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_ogg, op2_line_dedup, op3_license_scan, op4_packing, op5_pii, op6_toxicity, op8_collision_search, op9_simhash, op10_language_id)}
 
 
 OP2_SQL = r"""

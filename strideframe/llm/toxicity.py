@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.common import materialize
+from strideframe.llm.linear import fit_linear
 
 #: Labelled rows that the lexicon and the classifier are learned from, at most.
 SAMPLE_ROWS = 16_000
@@ -143,19 +144,6 @@ def fit_label_model(votes: np.ndarray, n: np.ndarray, known: np.ndarray, rounds:
     return model
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Logistic regression on soft labels by Newton's method; x holds a column of ones."""
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> DataFrame:
     """(doc_id, text_hash, score, predicted) of each row of docs, learned from labels, which holds training rows alone."""
     spark = docs.sparkSession

@@ -65,8 +65,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", "held_out", "s.lang_pred", "s.score", "s.languages")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ogg, op2_line_dedup, op3_license_scan, op4_packing, op5_pii, op6_toxicity, op8_collision_search, op9_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_ogg, op2_line_dedup, op3_license_scan, op4_packing, op5_pii, op6_toxicity, op8_collision_search, op9_simhash, op10_language_id, pipeline)}
 
 
 OP2_SQL = r"""

@@ -27,3 +27,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+# Each module registers its queries; the order here is the order of the registry.
+from strideframe.plans import journal, spatial  # noqa: E402, F401

@@ -30,41 +30,54 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 
 class Block:
-    """Sorted projections of one block of vectors."""
+    """Sorted projections of one block of vectors (fewer than 65,536)."""
 
     def __init__(self, x: np.ndarray, projections: int, seed: int):
+        n = len(x)
+        assert n < 1 << 16 and projections < 256
         norms = np.einsum("ij,ij->i", x, x)
         top = norms.max()
         lifted = np.column_stack([x, np.sqrt(np.maximum(0, top - norms))]) / np.sqrt(top)
-        self.x = x
-        self.lines = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, projections))
-        values = (lifted @ self.lines).T
-        self.order = np.argsort(values, axis=1)
-        self.sorted = np.take_along_axis(values, self.order, axis=1)
-
-    def search(self, q: np.ndarray, need: int, share: float, start: float, widen: float) -> np.ndarray:
-        """Places of the vectors in the windows of at least share of the projections, once there are `need` of them."""
-        n = self.x.shape[0]
+        random = np.random.default_rng(seed)
+        self.x, self.lines = x, random.standard_normal((x.shape[1] + 1, projections))
+        values = np.ascontiguousarray((lifted @ self.lines).T)
+        order = np.argsort(values, axis=1)
+        self.sorted = np.take_along_axis(values, order, axis=1)
+        #: A vector's place in each sorted array.
+        self.place = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
+        self.some = values[:, random.choice(n, min(n, 256), replace=False)].T.astype(np.float32)
+
+    def search(self, asked: np.ndarray, need: int, share: float, start: float, widen: float) -> list[np.ndarray]:
+        """For each query the places of the vectors that are in the windows of at least share of the projections.
+
+        All windows of a query have the same half-width, start * widen ** i: the first i tried is where, among a few of the
+        vectors, enough would be found; i grows until `need` are.
+        """
+        n, m = len(self.x), self.lines.shape[1]
         if need >= n:
-            return np.arange(n)
-        centre = (q / np.linalg.norm(q)) @ self.lines[:-1]
-        m = len(centre)
-        hits = np.zeros(n, np.int16)
-        at = [np.searchsorted(s, c) for s, c in zip(self.sorted, centre)]
-        lo, hi, half, least = list(at), list(at), start, int(np.ceil(share * m))
-        while True:
+            return [np.arange(n)] * len(asked)
+        least = int(np.ceil(share * m))
+        centre = (asked / np.linalg.norm(asked, axis=1)[:, None]) @ self.lines[:-1]
+        apart = np.partition(np.abs(self.some[None] - centre[:, None].astype(np.float32)), least - 1, axis=2)[:, :, least - 1]
+        first = np.quantile(apart, min(1, need / n), axis=1)
+        step = np.maximum(0, np.round(np.log(np.maximum(first, 1e-9) / start) / np.log(widen))).astype(int)
+        found: list[np.ndarray] = [np.empty(0, int)] * len(asked)
+        left = np.arange(len(asked))
+        while len(left):
+            half = start * widen ** step[left]
+            hits = np.zeros((len(left), n), np.uint8)
             for j in range(m):
-                a, b = np.searchsorted(self.sorted[j], (centre[j] - half, centre[j] + half))
-                if a < lo[j]:
-                    hits[self.order[j, a : lo[j]]] += 1
-                    lo[j] = a
-                if b > hi[j]:
-                    hits[self.order[j, hi[j] : b]] += 1
-                    hi[j] = b
-            found = np.flatnonzero(hits >= least)
-            if len(found) >= need:
-                return found
-            half *= widen
+                lo = np.searchsorted(self.sorted[j], centre[left, j] - half).astype(np.uint16)
+                size = (np.searchsorted(self.sorted[j], centre[left, j] + half, "right") - lo).astype(np.uint16)
+                hits += (self.place[j][None, :] - lo[:, None]) < size[:, None]  # unsigned: places before the window wrap round
+            enough = hits >= least
+            done = enough.sum(1) >= need
+            for k in np.flatnonzero(done):
+                found[left[k]] = np.flatnonzero(enough[k])
+            step[left] += 1
+            left = left[~done]
+        return found
 
 
 def search(
@@ -75,7 +88,7 @@ def search(
     share: float = 0.7,
     verify: float = 0.1,
     start: float = 0.25,
-    widen: float = 1.3,
+    widen: float = 1.2,
     block_rows: int = 8192,
     query_rows: int = 2048,
     seed: int = 11,
@@ -102,14 +115,15 @@ def search(
             ids = held["vec_id"].to_numpy()
             block = Block(np.stack(held["embedding"].to_numpy()), projections, seed)
             need = k + 1 + int(verify * len(ids))
-            for q_id, q in zip(asked["query_id"], asked["query"]):
-                found = block.search(q, need, share, start, widen)
-                found = found[ids[found] != q_id]
-                scores = block.x[found] @ q
-                best = np.lexsort((ids[found], -scores))[:k]
-                out["query_id"].append(np.full(len(best), q_id))
-                out["vec_id"].append(ids[found][best])
-                out["score"].append(scores[best])
+            for i in range(0, len(asked), 64):
+                some = np.stack(asked["query"][i : i + 64].to_numpy())
+                for q_id, q, found in zip(asked["query_id"][i : i + 64], some, block.search(some, need, share, start, widen)):
+                    found = found[ids[found] != q_id]
+                    scores = block.x[found] @ q
+                    best = np.lexsort((ids[found], -scores))[:k]
+                    out["query_id"].append(np.full(len(best), q_id))
+                    out["vec_id"].append(ids[found][best])
+                    out["score"].append(scores[best])
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(of_blocks, "query_id bigint, vec_id bigint, score double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import ann, langid, licenses, line_dedup, ogg, packing, pii, simhash, toxicity
+from strideframe.llm import ann, langid, licenses, line_dedup, ogg, packing, pieces, pii, simhash, toxicity
 from strideframe.llm.common import held_out, table, text_or_empty
 
 
@@ -49,6 +49,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), labels).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.summary(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ogg, op2_line_dedup, op3_license_scan, op4_packing, op5_pii, op6_toxicity, op8_collision_search, op9_simhash, op10_language_id, pipeline)}
+    return {f.__name__: f for f in (op1_ogg, op2_line_dedup, op3_license_scan, op4_packing, op5_pii, op6_toxicity, op7_sentencepiece, op8_collision_search, op9_simhash, op10_language_id, pipeline)}
 
 
 OP2_SQL = r"""

@@ -19,7 +19,7 @@ FOOT, BIKE, CAR, SIDE = 1, 2, 4, 8
 
 def parts(value: Column) -> Column:
     """The trimmed parts of a tag with several values."""
-    return F.transform(F.split(value, ";"), F.trim)
+    return F.transform(F.split(value, ";"), lambda x: F.trim(x))
 
 
 def tag_holds(value: Column, wanted: list[str]) -> Column:

@@ -17,6 +17,7 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,10 +29,10 @@ from pyspark.sql.window import Window
 
 from strideframe.llm.common import materialize, text_or_empty
 
-#: Texts of about so many characters are encoded at a time; so many bytes of known words are kept by a worker.
-_CHARS, _KEPT = 1 << 20, 96 << 20
+#: Texts of about so many characters are encoded at a time; a worker keeps the ids of so many words of so many characters at most.
+_CHARS, _KEPT, _SHORT = 1 << 20, 900_000, 13
 #: Ranks within a length are dealt to so many buckets.
-_BUCKETS = 64
+_BUCKETS = 16
 _ODD = re.compile(r" (?:\s|\Z)")
 _BEFORE = re.compile(r"(?= \S)")
 
@@ -47,8 +48,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.size = 0
+        self.tokenizer.post_processor = None  # it would add no ids, and only trim offsets
+        self.known: dict[str | tuple[str], bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -58,21 +59,26 @@ class Encoder:
         return cls._of[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        """The ids of each text as unsigned 32-bit numbers in the machine's order of bytes (little-endian wherever Spark runs)."""
+        # Every part but the first stands for itself with a blank before it; the first goes by a key of another type.
         parts = []
         for t in texts:
             if _ODD.search(t):
-                parts.append(_BEFORE.split(t))
+                first, *rest = _BEFORE.split(t)
+                parts.append([(first,), *(x[1:] for x in rest)])
             else:
-                first, *rest = t.split(" ")
-                parts.append([first, *(" " + x for x in rest)])
+                words = t.split(" ")
+                words[0] = (words[0],)
+                parts.append(words)
         new = list(set().union(*parts).difference(self.known))
-        for word, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = ids = np.array(x.ids, "<u4").tobytes()
-            self.size += 200 + len(word) + len(ids)
+        for word, x in zip(new, self.tokenizer.encode_batch_fast([w[0] if type(w) is tuple else " " + w for w in new], add_special_tokens=False)):
+            self.known[word] = array("I", x.ids).tobytes()
         found = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        if self.size > _KEPT:
-            self.known, self.size = {}, 0
+        for word in new:  # long words hardly ever come again
+            if type(word) is tuple or len(word) > _SHORT:
+                del self.known[word]
+        if len(self.known) > _KEPT:
+            self.known = {w: x for w, x in self.known.items() if len(w) <= _SHORT // 2}
         return found
 
 

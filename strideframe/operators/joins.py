@@ -41,10 +41,16 @@ def nearest(pairs: DataFrame, keys: list[str], k: int = 1, tie: str = "r_id") ->
 
 
 def segment_join(points: DataFrame, segments: DataFrame, radius_m: float, max_lat: float = 70.0) -> DataFrame:
-    """points x segments (seg, a_lat, a_lon, b_lat, b_lon) within radius_m, by the cells of each segment's box; plus dist_m."""
+    """points x segments (seg, a_lat, a_lon, b_lat, b_lon) within radius_m, by the cells along each segment; plus dist_m."""
     dlat, dlon = _cell_sizes(radius_m, max_lat)
-    span = lambda a, b, size: F.explode(F.sequence(F.floor(F.least(a, b) / size) - 1, F.floor(F.greatest(a, b) / size) + 1))
-    cells = segments.withColumn("_sf_i", span(F.col("a_lat"), F.col("b_lat"), dlat)).withColumn("_sf_j", span(F.col("a_lon"), F.col("b_lon"), dlon))
+    a_lat, b_lat, a_lon, b_lon = map(F.col, ("a_lat", "b_lat", "a_lon", "b_lon"))
+    rows = segments.withColumn("_sf_i", F.explode(F.sequence(F.floor(F.least(a_lat, b_lat) / dlat) - 1, F.floor(F.greatest(a_lat, b_lat) / dlat) + 1)))
+    # The part of the segment within a row of cells and the rows beside it says which columns can be near.
+    share = lambda row: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (row * dlat - a_lat) / F.nullif(b_lat - a_lat, F.lit(0.0))))
+    lon = lambda t: a_lon + (b_lon - a_lon) * t
+    t1, t2 = (F.when(a_lat == b_lat, whole).otherwise(share(F.col("_sf_i") + k)) for whole, k in ((0.0, -1), (1.0, 2)))
+    columns = F.sequence(F.floor(F.least(lon(t1), lon(t2)) / dlon) - 1, F.floor(F.greatest(lon(t1), lon(t2)) / dlon) + 1)
+    cells = rows.withColumn("_sf_j", F.explode(columns))
     placed = points.withColumn("_sf_i", F.floor(F.col("lat") / dlat)).withColumn("_sf_j", F.floor(F.col("lon") / dlon))
     found = placed.join(cells, ["_sf_i", "_sf_j"]).withColumn("dist_m", geo.segment_distance_m("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon"))
     return found.where(F.col("dist_m") <= radius_m).drop("_sf_i", "_sf_j")

@@ -37,6 +37,18 @@ def test_radius_join_equals_brute_force(spark):
         assert got == {(a[0], b[0]) for a in pts for b in pts if metres(a[1], a[2], b[1], b[2]) <= r}
 
 
+def test_segment_join_equals_brute_force(spark):
+    rng = random.Random(4)
+    at = lambda: (40 + rng.random() / 50, -111 + rng.random() / 50)
+    pts = [(i, *at()) for i in range(200)]
+    segs = [(i, *at(), *at()) for i in range(40)] + [(40, 40.01, -111.0, 40.01, -110.99), (41, 40.01, -110.99, 40.012, -110.99), (42, 40.01, -110.995, 40.01, -110.995)]
+    df, sf = spark.createDataFrame(pts, "id int, lat double, lon double"), spark.createDataFrame(segs, "seg int, a_lat double, a_lon double, b_lat double, b_lon double")
+    for r in (25.0, 120.0):
+        every = df.crossJoin(sf).where(geo.segment_distance_m("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon") <= r)
+        found = joins.segment_join(df, sf, r).select("id", "seg").collect()
+        assert sorted(found) == sorted(every.select("id", "seg").collect()) and len(found) > 100
+
+
 def test_asof_before_the_first_row(spark):
     left, right = spark.createDataFrame([("a", 1), ("a", 5), ("b", 1)], "k string, t int"), spark.createDataFrame([("a", 3, 7), ("a", 5, 8)], "k string, t int, v int")
     plain = {(r.k, r.t): r.r_v for r in joins.asof_join(left, right, ["k"], "t", ["v"]).collect()}

@@ -3,7 +3,7 @@ import random
 
 from strideframe.streaming.fold import fold, fold_stream
 from strideframe.streaming.imm import ImmFilter
-from strideframe.streaming.machines import Debounce, HomeWatch, JournalThrottle, PlainFilter, QuestTracker, TrapTimer, metres
+from strideframe.streaming.machines import Debounce, HomeWatch, JournalThrottle, PlainFilter, QuestTracker, StreetMatcher, TrapTimer, metres
 
 FIX = "game int, id long, t_ms long, lat double, lon double, accuracy_m double, mock boolean"
 
@@ -89,3 +89,32 @@ def test_timers():
     assert run(TrapTimer(), traps) == [(15, "a")]
     home = HomeWatch((40.0, -111.0))
     assert [x[1] for x in run(home, [at(0, 0), at(60, 10, 30.0), at(200, 20), at(0, 30), at(0, 40)])] == ["home", "away", "home"]
+
+
+def test_matcher_stays_on_its_street():
+    """Two parallel streets 30 m apart; one fix strays to just past the middle."""
+    k = 111195 * math.cos(math.radians(40))
+    rows = []
+    for i in range(20):
+        east = 16.0 if i == 10 else 2.0
+        r = at(10 * i, 5 * i, 5.0, i) | {"lon": -111 + east / k}
+        rows.append(r | {"candidates": [["a", abs(east), r["lat"], -111.0], ["b", abs(30 - east), r["lat"], -111 + 30 / k]]})
+    out = run(StreetMatcher(beta_m=5.0), rows)
+    assert len(out) == 17 and {x[1] for x in out} == {"a"}
+    assert [x[1] for x in run(StreetMatcher(lag=0), [at(0, 0) | {"candidates": None}])] == [None]
+
+
+def test_smoother_and_turns():
+    import numpy as np
+
+    from strideframe.operators.tracks import smoothed, turns
+
+    rng = np.random.default_rng(3)
+    t = np.arange(0, 600, 5.0)
+    true = np.column_stack([1.4 * t, 0.5 * t])
+    x = smoothed(t, true + rng.normal(0, 5, true.shape), np.full(len(t), 5.0), 0.05)
+    assert np.sqrt(((x[:, :2] - true) ** 2).sum(1).mean()) < 3.5 and abs(np.hypot(x[60, 2], x[60, 3]) - math.hypot(1.4, 0.5)) < 0.3
+    north = [(i * 1000, 40 + 5 * i / 111195, -111.0) for i in range(20)]
+    east = [((20 + i) * 1000, north[-1][1], -111 + 5 * (i + 1) / (111195 * math.cos(math.radians(40)))) for i in range(20)]
+    found = turns(*zip(*(north + east)))
+    assert len(found) == 1 and abs(found[0][0] - 19_000) <= 1000 and 80 < found[0][1] < 100

@@ -48,8 +48,9 @@ def sample_of(labels: DataFrame, doc_id: str = "doc_id", toxic: str = "toxic", r
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def mine(rows: DataFrame, least: int = 4, odds: float = 2.0, entries: int = LEXICON) -> dict[str, float]:
-    """token -> log-odds of the tokens of rows (text, y) that speak for y = 1."""
+def mine(rows: DataFrame, least: int = 4, share: float = 0.02, odds: float = 2.0, entries: int = LEXICON) -> dict[str, float]:
+    """token -> log-odds of the tokens of rows (text, y) that speak for y = 1: those in at least `least` toxic rows and at
+    least that share of them, so that words of a few copied texts don't count as toxic."""
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = (Counter(), Counter())
@@ -67,7 +68,7 @@ def mine(rows: DataFrame, least: int = 4, odds: float = 2.0, entries: int = LEXI
     if not total or not total["a"] or not total["b"]:
         return {}
     weight = F.log((F.col("a") + 0.5) / (total["a"] + 1)) - F.log((F.col("b") + 0.5) / (total["b"] + 1))
-    found = counts.where("token <> ''").withColumn("w", weight).where(F.col("w") >= odds).orderBy(F.desc(F.col("w") * F.sqrt("a")), "token").limit(entries).collect()
+    found = counts.where((F.col("token") != "") & (F.col("a") >= share * total["a"])).withColumn("w", weight).where(F.col("w") >= odds).orderBy(F.desc(F.col("w") * F.sqrt("a")), "token").limit(entries).collect()
     return {r["token"]: float(r["w"]) for r in found}
 
 

@@ -14,7 +14,7 @@ Texts then get their words' ids by a join: the most frequent words (a fixed numb
 ones are shuffled.
 
 Defined results: null and empty texts have no pieces; a text that holds U+2581 itself decodes to a blank there, as in the
-library; repeated rows get equal rows.
+library; rows that repeat an id are taken together.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ BLANK = "▁"
 #: The score of an unknown character lies so far below the lowest piece's.
 UNKNOWN = 10.0
 #: Words that are broadcast, at most.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
+#: Characters of a word that is folded from one list of its edges.
+LONG = 64
 
 
 class Vocabulary:
@@ -78,38 +80,43 @@ def _byte_ids(char: Column, vocabulary: Vocabulary) -> Column:
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """words (word, distinct, and other columns that follow from it: n) with ids array<int> of the best path."""
-    spark = words.sparkSession
-    known = F.broadcast(vocabulary.table(spark))
-    n, longest = F.length("word"), vocabulary.longest
-    starts = words.select("word", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("word", "n", "start", F.explode(F.sequence(F.lit(1), F.least(n - F.col("start"), F.lit(longest)))).alias("len"))
+    """words (word, distinct, and n) with ids array<int> of the path. Words of over LONG characters go a way of their own."""
+    return _paths(words.where(F.length("word") <= LONG), vocabulary, False).unionByName(_paths(words.where(F.length("word") > LONG), vocabulary, True))
+
+
+def _paths(words: DataFrame, vocabulary: Vocabulary, long: bool) -> DataFrame:
+    known = F.broadcast(vocabulary.table(words.sparkSession))
+    size, longest = F.length("word"), vocabulary.longest
+    starts = words.select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    spans = starts.select("word", "n", "start", F.explode(F.sequence(F.lit(1), F.least(size - F.col("start"), F.lit(longest)))).alias("len"))
     spans = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("len")))
     # A character without a piece of its own is an edge too.
     edges = spans.join(known, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
-    if vocabulary.merges:
-        pieces = edges.groupBy("word", "n", "start").agg(F.map_from_entries(F.collect_list(F.struct("len", F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))))).alias("of"))
-        found = pieces.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("start", F.map_entries("of").alias("of")))).alias("starts"))
-        found = found.select("word", "n", F.transform("starts", lambda x: F.map_from_entries(x["of"])).alias("of")).withColumn("path", merged(F.col("of"), F.length("word")))
+    edges = edges.select("word", "n", "start", "len", F.coalesce("score", F.lit(vocabulary.unknown_score)).cast("float").alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    edge = F.struct("start", "len", "score", "id")
+    if long:
+        # By place first: a list of all edges would be searched once for each place.
+        at = (F.col("start") if vocabulary.merges else F.col("start") + F.col("len")).alias("at")
+        rows = edges.groupBy("word", "n", at).agg(F.collect_list(edge).alias("edges")).groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("at", "edges"))).alias("places")).select("word", "n", F.col("places.edges").alias("places"))
     else:
-        edge = F.struct(F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), F.col("start").alias("start"), F.coalesce("id", F.lit(-1)).alias("id"))
-        ends = edges.groupBy("word", "n", (F.col("start") + F.col("len")).alias("end")).agg(F.collect_list(edge).alias("edges"))
-        columns = ends.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("columns"))
-        found = columns.select("word", "n", forward(F.col("columns")).alias("best")).withColumn("path", walked_back(F.col("best"), F.length("word")))
+        rows = edges.groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
+        at = (lambda e: e["start"]) if vocabulary.merges else (lambda e: e["start"] + e["len"] - 1)
+        rows = rows.select("word", "n", F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.filter("edges", lambda e: at(e) == i)).alias("places"))
+    found = rows.withColumn("path", merged(F.col("places"), size) if vocabulary.merges else walked_back(forward(F.col("places")), size))
     ids = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(_byte_ids(F.substring("word", p["start"] + 1, F.lit(1)), vocabulary))))
     return found.select("word", "n", ids.alias("ids"))
 
 
-def forward(columns: Column) -> Column:
-    """Viterbi: for each place the best score of a path to it and the edge that it came by. columns: the edges by their end."""
+def forward(places: Column) -> Column:
+    """Viterbi: for each place the best score of a path to it and the edge that it came by. places: the edges by their end."""
     none = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(-1).alias("id")))
 
     # Of paths of equal score the one whose last piece starts first wins, as in the library.
-    def step(best: Column, column: Column) -> Column:
-        come = F.transform(column["edges"], lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")))
+    def step(best: Column, edges: Column) -> Column:
+        come = F.transform(edges, lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")))
         return F.concat(best, F.array(F.array_max(come)))
 
-    return F.aggregate(columns, none, step)
+    return F.aggregate(places, none, step)
 
 
 def walked_back(best: Column, n: Column) -> Column:
@@ -128,15 +135,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def merged(of: Column, n: Column) -> Column:
+def merged(places: Column, n: Column) -> Column:
     """array<struct<id, start>>: adjacent pieces merged by the best score, the leftmost first, until no pair is a piece.
 
-    of: for each start a map of the pieces there by their length. One step merges all places of the best pair at once, which is
+    places: the edges by their start. One step merges all places of the best pair at once, which is
     the same: a merge never makes a pair of a better score than its own (that pair's parts would have been merged before).
     """
 
     def edge(a: Column, b: Column) -> Column:
-        return F.try_element_at(F.get(of, a), b - a)
+        return F.get(F.filter(F.get(places, a), lambda e: e["len"] == b - a), F.lit(0))
 
     def step(state: Column, _: Column) -> Column:
         return F.when(state["done"], state).otherwise(let(state["cuts"], merge))
@@ -144,9 +151,9 @@ def merged(of: Column, n: Column) -> Column:
     def merge(cuts: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda i: F.struct(edge(F.get(cuts, i), F.get(cuts, i + 2))["score"].alias("score"), i.alias("at")))
         end = F.struct(cuts.alias("cuts"), F.lit(True).alias("done"))
-        return F.when(F.size(cuts) < 3, end).otherwise(let(F.filter(pairs, lambda p: p["score"].isNotNull()), lambda good: F.when(F.size(good) == 0, end).otherwise(let(F.array_max(good)["score"], lambda best: let(places(good, best), lambda at: without(cuts, at))))))
+        return F.when(F.size(cuts) < 3, end).otherwise(let(F.filter(pairs, lambda p: p["score"].isNotNull()), lambda good: F.when(F.size(good) == 0, end).otherwise(let(F.array_max(good)["score"], lambda best: let(chosen(good, best), lambda at: without(cuts, at))))))
 
-    def places(good: Column, best: Column) -> Column:
+    def chosen(good: Column, best: Column) -> Column:
         # Of places that overlap the left one is merged.
         return F.aggregate(F.filter(good, lambda p: p["score"] == best), F.array().cast("array<int>"), lambda a, p: F.when(F.coalesce(F.get(a, F.size(a) - 1), F.lit(-2)) == p["at"], a).otherwise(F.concat(a, F.array(p["at"] + 1))))
 
@@ -168,34 +175,52 @@ def decode(rows: DataFrame, keys: list[str], ids: str, vocabulary: Vocabulary) -
 def word_table(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """(word, n, ids, ok) of all distinct words: how often they occur, their ids, and whether these decode to the word."""
     words = docs.select(F.explode(words_of(text_or_empty(text), vocabulary.breaks)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    coded = lattice(words, vocabulary)
-    flat = coded.select("word", "n", "ids", F.posexplode("ids").alias("at", "id")).join(F.broadcast(vocabulary.decoded(docs.sparkSession)), "id", "left")
-    again = flat.groupBy("word", "n", "ids").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("data").alias("h")))).alias("parts"))
+    # Still dealt by word: decoding isn't shuffled either.
+    flat = lattice(words, vocabulary).select("word", "n", "ids", F.posexplode("ids").alias("at", "id")).join(F.broadcast(vocabulary.decoded(docs.sparkSession)), "id", "left")
+    parts = F.array_sort(F.collect_list(F.struct("at", F.hex("data").alias("h"))))
+    again = flat.groupBy("word").agg(F.first("n").alias("n"), F.first("ids").alias("ids"), parts.alias("parts"))
     said = F.unhex(F.array_join(F.col("parts.h"), ""))
-    return materialize(again.select("word", "n", "ids", (said == F.encode(F.replace("word", F.lit(BLANK), F.lit(" ")), "UTF-8")).alias("ok")), "words")
+    return materialize(again.select("word", "n", "ids", F.coalesce(said == F.encode(F.replace("word", F.lit(BLANK), F.lit(" ")), "UTF-8"), F.lit(False)).alias("ok")), "words")
+
+
+def frequent_from(words: DataFrame, most: int) -> int:
+    """The least n of which at most `most` words are as frequent."""
+    counts = words.groupBy("n").agg(F.count("*").alias("words")).where("n > 1").orderBy(F.desc("n")).select("n", "words")
+    total, least = 0, 1 << 62
+    for r in counts.collect():  # as many rows as there are different counts: under the square root of twice the words
+        total += r["words"]
+        if total > most:
+            break
+        least = r["n"]
+    return least
 
 
 def encoded_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, th, at, ids, ok): each word of each text with its place, and its ids."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("th"), F.posexplode(words_of(text_or_empty(text), vocabulary.breaks)).alias("at", "word"))
-    return lookup_hot(rows, word_table(docs, vocabulary, text), ["word"], "n", FREQUENT).select("doc_id", "th", "at", "ids", "ok")
+    """(doc_id, at, ids, ok): each word of each text with its place, and its ids."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(words_of(text_or_empty(text), vocabulary.breaks)).alias("at", "word"))
+    words = word_table(docs, vocabulary, text)
+    least = frequent_from(words, FREQUENT)
+    often, seldom = words.where(F.col("n") >= least).drop("n"), words.where(F.col("n") < least).drop("n")
+    known = rows.join(F.broadcast(often), "word")
+    return known.unionByName(rows.join(F.broadcast(often.select("word")), "word", "left_anti").join(seldom, "word")).drop("word")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, th, ids array<int>); th: xxhash64 of the text. Texts without words have no row."""
-    own = encoded_words(docs, Vocabulary(path), text, doc_id).distinct()
-    return own.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("w")).select("doc_id", "th", F.flatten(F.col("w.ids")).alias("ids"))
+def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", merges: bool = True) -> DataFrame:
+    """(doc_id, ids array<int>) of texts with a word; ids of documents must be unique."""
+    own = encoded_words(docs, Vocabulary(path, merges), text, doc_id)
+    return own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("w")).select("doc_id", F.flatten(F.col("w.ids")).alias("ids"))
 
 
-def summary(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def summary(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", merges: bool = True) -> DataFrame:
     """(doc_id, n_words, n_pieces, ids_digest, round_trip) of each row of docs.
 
     ids_digest: the exclusive or of xxhash64(place, ids) over a text's words: it depends on all ids and their order, and its
-    parts are summed up before the shuffle. The words of rows that repeat both an id and a text are counted together.
+    parts are summed up before the shuffle. round_trip: whether the ids of each word decode to it. Rows that repeat an id get
+    the figures of all of them together.
     """
-    own = encoded_words(docs, Vocabulary(path), text, doc_id)
-    sums = own.groupBy(F.col("doc_id").alias("id2"), F.col("th").alias("th2")).agg(F.count("*").alias("words"), F.sum(F.size("ids")).alias("n"), F.bit_xor(F.xxhash64("at", "ids")).alias("x"), F.bool_and("ok").alias("ok"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("th"))
-    out = rows.join(sums, rows["doc_id"].eqNullSafe(sums["id2"]) & (rows["th"] == sums["th2"]), "left")
+    vocabulary = Vocabulary(path, merges)
+    own = encoded_words(docs, vocabulary, text, doc_id)
+    sums = own.groupBy(F.col("doc_id").alias("id2")).agg(F.count("*").alias("words"), F.sum(F.size("ids")).alias("n"), F.bit_xor(F.xxhash64("at", "ids")).alias("x"), F.bool_and("ok").alias("ok"))
+    out = docs.select(F.col(doc_id).alias("doc_id")).join(sums, F.col("doc_id").eqNullSafe(F.col("id2")), "left")
     zero = F.lit(0).cast("bigint")
     return out.select("doc_id", F.coalesce("words", zero).alias("n_words"), F.coalesce("n", zero).alias("n_pieces"), F.lower(F.lpad(F.hex(F.coalesce("x", zero)), 16, "0")).alias("ids_digest"), F.coalesce("ok", F.lit(True)).alias("round_trip"))

@@ -229,4 +229,6 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data in `text` replaced. The spans are found a second time, so that no text is shuffled or written."""
     t = text_or_empty(text)
     model = train_on(docs.select(candidates(t).alias("spans")))
-    return docs.withColumn("_sf_spans", final_spans(candidates(t), model)).withColumn(text, redacted(t, F.col("_sf_spans"))).drop("_sf_spans")
+    # Columns of their own: each is computed once, though it is used several times.
+    found = docs.withColumn("_sf_found", candidates(t)).withColumn("_sf_spans", final_spans(F.col("_sf_found"), model))
+    return found.withColumn(text, redacted(t, F.col("_sf_spans"))).drop("_sf_found", "_sf_spans")

@@ -2,8 +2,8 @@
 
 All rolling word k-grams of the texts are hashed and joined to the positions of the same hashes in the license templates (a
 fixed, small table: it is broadcast). Matches vote for their diagonal, document position less template position, with partial
-sums before the shuffle; neighbouring diagonals of a document and template are merged, so that inserted or missing words don't
-break a span; a span is verified by the words of the template that it covers, and by how many of its own words match.
+sums before the shuffle; diagonals of a document and template that are close are merged, whatever other diagonals lie between,
+so that inserted or missing words don't break a span; a span is verified by the words of the template that it covers, and by how many of its own words match.
 
 Hashes have 64 bits and the templates hold under 2,000 k-grams, so that about one k-gram in 10 ** 16 matches by chance.
 
@@ -61,6 +61,26 @@ def template_grams(spark: SparkSession, k: int, templates: dict[str, str]) -> Da
     return rows.select("label", F.size("words").alias("n_words"), F.posexplode(kgrams(F.col("words"), k)).alias("at", "gram"))
 
 
+def merged_diagonals(votes: DataFrame, keys: list[str], slack: int, reach: int, rounds: int = 2) -> DataFrame:
+    """votes with `span`, the same for diagonals that hang together: at most slack apart, and at most reach words between them.
+
+    Rows are cut where the diagonal jumps by more than slack, whatever stands in between in the document, and each part where
+    no earlier row reaches. Neither cut parts two rows that belong together; the second round parts those that only met
+    through a row that the first one took away.
+    """
+    rows = votes.withColumn("span", F.lit(0).cast("long"))
+    for _ in range(rounds):
+        own = Window.partitionBy(*keys, "span")
+        before = own.orderBy("lo", "diagonal").rowsBetween(Window.unboundedPreceding, -1)
+        for order, near in (
+            (["diagonal"], F.col("diagonal") - F.lag("diagonal").over(own.orderBy("diagonal")) <= slack),
+            (["lo", "diagonal"], F.col("lo") - F.max("hi").over(before) <= reach),
+        ):
+            whole = Window.partitionBy(*keys).orderBy("span", *order).rowsBetween(Window.unboundedPreceding, 0)
+            rows = rows.withColumn("cut", F.when(near, F.lit(0)).otherwise(F.lit(1))).withColumn("span", F.sum("cut").over(whole)).drop("cut")
+    return rows
+
+
 def license_spans(rows: DataFrame, keys: list[str], words: str, k: int = 4, slack: int = 8, cover: float = 0.6, purity: float = 0.6, templates: dict[str, str] | None = None) -> DataFrame:
     """(*keys, label, first_word, last_word, coverage) of verified spans in rows' array of words.
 
@@ -70,9 +90,7 @@ def license_spans(rows: DataFrame, keys: list[str], words: str, k: int = 4, slac
     known = F.broadcast(template_grams(rows.sparkSession, k, templates or TEMPLATES))
     grams = rows.select(*keys, F.posexplode(kgrams(F.col(words), k)).alias("place", "gram"))
     votes = grams.join(known, "gram").withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*keys, "label", "n_words", "diagonal").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.collect_set("at").alias("ats"))
-    line = Window.partitionBy(*keys, "label").orderBy("lo", "diagonal")
-    near = (F.abs(F.col("diagonal") - F.lag("diagonal").over(line)) <= slack) & (F.col("lo") - F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1)) <= slack + k)
-    islands = votes.withColumn("span", F.when(near, F.lit(0)).otherwise(F.lit(1))).withColumn("span", F.sum("span").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = merged_diagonals(votes, [*keys, "label"], slack, slack + k)
     covered = lambda c: F.size(F.array_distinct(F.flatten(F.transform(c, lambda t: F.sequence(t, t + (k - 1))))))
     spans = islands.groupBy(*keys, "label", "n_words", "span").agg(F.min("lo").cast("long").alias("first_word"), (F.max("hi") + (k - 1)).cast("long").alias("last_word"), covered(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("matched"))
     spans = spans.withColumn("coverage", F.col("matched") / F.col("n_words"))

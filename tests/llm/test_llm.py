@@ -107,6 +107,20 @@ def test_license_scan(spark):
     assert got[5].n_words == 0 and licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_one_inserted_word_breaks_no_license(spark):
+    texts, want = [], []
+    for label, text in licenses.TEMPLATES.items():
+        words = re.findall(r"[A-Za-z0-9]+", text)
+        for p in range(len(words) + 1):
+            matched = sum(n for n in (p, len(words) - p) if n >= 4)
+            texts.append(" ".join(["foo bar", *words[:p], "inserted", *words[p:], "baz"]))
+            want.append((label, matched / len(words)))
+    for r in licenses.scan(docs(spark, texts)).collect():
+        label, share = want[r.doc_id]
+        assert (label in r.labels.split(",")) == (share >= 0.6), (label, share, texts[r.doc_id])
+        assert share < 0.6 or r.score >= share
+
+
 # Packing
 
 

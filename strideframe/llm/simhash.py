@@ -125,19 +125,31 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) for each row of docs; component_id: the smallest id it is linked to, itself included."""
-    rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), fingerprint(F.col(text), words_per_shingle, seed).alias("fp")), "fingerprints")
+def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) for each row of docs; component_id: the smallest id it is linked to, itself included.
+
+    With the column `row`, that too, and `root`: the group itself (repeated ids can give two groups one component_id).
+    """
+    more = [F.col(row).alias("row")] if row else []
+    rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), fingerprint(F.col(text), words_per_shingle, seed).alias("fp"), *more), "fingerprints")
     known = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(links(known.select("fp")))
     linked = known.join(roots.withColumnRenamed("v", "fp"), "fp")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    alone = known.join(roots.select(F.col("v").alias("fp")), "fp", "left_anti").select("fp", F.col("least").alias("component_id"), "n")
-    named = materialize(linked.join(names, "root").select("fp", "component_id", "n").unionByName(alone), "groups")
-    return lookup_hot(rows, named, ["fp"], "n").select("doc_id", "text_hash", "fp", "component_id")
+    alone = known.join(roots.select(F.col("v").alias("fp")), "fp", "left_anti").select("fp", F.col("least").alias("component_id"), "n", F.col("fp").alias("root"))
+    named = materialize(linked.join(names, "root").select("fp", "component_id", "n", "root").unionByName(alone), "groups")
+    return lookup_hot(rows, named, ["fp"], "n").select("doc_id", "text_hash", "fp", "component_id", *(["row", "root"] if row else []))
 
 
 def keep_one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """docs without those that have a smaller id in their group; rows that repeat both an id and a text stay or go together."""
-    gone = near_duplicate_groups(docs, text=text, doc_id=doc_id, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_sf_id"), F.col("text_hash").alias("_sf_th")).distinct()
-    return docs.join(gone, (F.col(doc_id) == F.col("_sf_id")) & (F.xxhash64(text_or_empty(text)) == F.col("_sf_th")), "left_anti")
+    """One row of each group of docs: the one of the smallest id (nulls last), then the smallest text hash; of rows that are
+    equal in both any one stays.
+
+    Rows are written once with a key of their own, so that a group's rows can be told apart though they repeat id and text.
+    """
+    keyed = materialize(docs.withColumn("_sf_row", F.monotonically_increasing_id()), "keyed-rows")
+    grouped = near_duplicate_groups(keyed, text=text, doc_id=doc_id, row="_sf_row", **how)
+    # Partial minima before the shuffle: a group of any size is one row of each task.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row")
+    kept = grouped.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_sf_row"))
+    return keyed.join(kept, "_sf_row", "left_semi").drop("_sf_row")

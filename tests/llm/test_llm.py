@@ -348,6 +348,15 @@ def test_groups_equal_brute_force(spark):
     assert kept == set(roots(prints, range(len(texts))))
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = ("one two three four five six", "another text of some words here", "and a third one that is unlike", "the last text is about rivers")
+    rows = [(3, a, "x"), (3, a, "x"), (None, a, "n"), (None, b, "n"), (None, b, "m"), (1, b.upper(), "u"), (1, b, "v"), (None, c, "p"), (None, c, "p"), (3, d, "q"), (3, d, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted((r.text.lower(), r.doc_id or 0) for r in simhash.keep_one_of_each_group(df).collect())
+    assert kept == sorted([(a, 3), (b, 1), (c, 0), (d, 3)])
+    assert simhash.keep_one_of_each_group(df).columns == df.columns
+
+
 @pytest.mark.parametrize("crowd", [2, 64])
 def test_links_of_crowds(spark, crowd):
     rng = random.Random(9)

@@ -13,6 +13,7 @@ several labels of one id count as toxic if one of them is; unlabelled and repeat
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -48,9 +49,20 @@ def sample_of(labels: DataFrame, doc_id: str = "doc_id", toxic: str = "toxic", r
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def mine(rows: DataFrame, least: int = 4, share: float = 0.02, odds: float = 2.0, entries: int = LEXICON) -> dict[str, float]:
-    """token -> log-odds of the tokens of rows (text, y) that speak for y = 1: those in at least `least` toxic rows and at
-    least that share of them, so that words of a few copied texts don't count as toxic."""
+def training_rows(rows: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, text, y): one row for each sampled id that has a document; of several texts the one of the smallest hash.
+
+    Partial minima before the shuffle, so that an id on very many rows is one row of each task.
+    """
+    first = F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")).alias("first")
+    return rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(first).select("doc_id", "first.text", "y")
+
+
+def mine(rows: DataFrame, least: int = 4, odds: float = 2.0, chance: float = 0.05, entries: int = LEXICON) -> dict[str, float]:
+    """token -> smoothed log-odds of the tokens of rows (text, y) that speak for y = 1: those in at least `least` distinct toxic
+    texts, and more of them than chance gives any of all tokens looked at (Bonferroni's bound, of the likelihood ratio). That
+    asks for a few distinct texts whatever the size of the sample: no share of them, so that rare tokens count too."""
+    rows = rows.groupBy("y", F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("n")).select("text", "y")
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = (Counter(), Counter())
@@ -68,7 +80,10 @@ def mine(rows: DataFrame, least: int = 4, share: float = 0.02, odds: float = 2.0
     if not total or not total["a"] or not total["b"]:
         return {}
     weight = F.log((F.col("a") + 0.5) / (total["a"] + 1)) - F.log((F.col("b") + 0.5) / (total["b"] + 1))
-    found = counts.where((F.col("token") != "") & (F.col("a") >= share * total["a"])).withColumn("w", weight).where(F.col("w") >= odds).orderBy(F.desc(F.col("w") * F.sqrt("a")), "token").limit(entries).collect()
+    tests, p = max(1, counts.count() - 1), total["a"] / (total["a"] + total["b"])
+    n = F.col("a") + F.col("b")
+    unlike = F.col("a") * F.log(F.col("a") / (n * p)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (n * (1 - p)))).otherwise(0.0)
+    found = counts.where((F.col("token") != "") & (unlike >= math.log(tests / chance))).withColumn("w", weight).where(F.col("w") >= odds).orderBy(F.desc(F.col("w") * F.sqrt("a")), "token").limit(entries).collect()
     return {r["token"]: float(r["w"]) for r in found}
 
 
@@ -150,13 +165,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sample = materialize(sample_of(labels, doc_id, toxic), "toxic-sample")
-    lexicon = mine(rows.join(F.broadcast(sample), "doc_id"))
+    train = materialize(training_rows(rows, sample), "toxic-training")
+    lexicon = mine(train)
     key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
     seen = materialize(rows.select("doc_id", key, votes_of(F.col("text"), spark, lexicon).alias("x")), "toxic-votes")
     v = len(VOTERS)
     pattern = F.slice("x", 1, v)
     counts = seen.groupBy(pattern.alias("votes")).agg(F.count("*").alias("n")).collect()  # 2 ** v rows at most
-    fit = seen.join(F.broadcast(sample), "doc_id").select("x", "y").limit(4 * SAMPLE_ROWS).collect()
+    fit = train.select(votes_of(F.col("text"), spark, lexicon).alias("x"), "y").collect()  # SAMPLE_ROWS at most
     weights = np.zeros(1 + v + len(VALUES))
     if fit and len({r["y"] for r in fit}) == 2 and lexicon:
         x, y = np.array([r["x"] for r in fit]), np.array([r["y"] for r in fit], float)

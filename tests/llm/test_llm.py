@@ -239,6 +239,24 @@ def test_toxicity_learns_from_labels(spark):
     assert toxicity.reject_toxic(docs(spark, texts), labels).count() >= 220
 
 
+def test_rare_toxic_words_count_and_copies_do_not(spark):
+    rng = random.Random(11)
+    plain = [" ".join(rng.choice([f"w{chr(97 + i)}" for i in range(26)]) for _ in range(12)) for _ in range(2400)]
+    rows = [(f"{t} grob{chr(97 + i % 50 // 25)}{chr(97 + i % 25)}", 1) for i, t in enumerate(plain[:400])] + [(t, 0) for t in plain[400:]] + [("copied text of onceonly words", 1)] * 50
+    found = toxicity.mine(spark.createDataFrame(rows, "text string, y int"))
+    assert {f"grob{a}{chr(97 + i)}" for a in "ab" for i in range(25)} <= set(found) and "onceonly" not in found
+
+
+def test_a_labelled_id_on_most_rows_leaves_both_classes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 5)
+    texts = [f"plain text {i % 7} of words " + ("grobian schlimm" if i % 3 == 0 else "calm") + f" x{chr(97 + i % 26)}" for i in range(60)]
+    copies = docs(spark, [f"plain text of words calm {i}" for i in range(3000)]).withColumn("doc_id", F.lit(1).cast("long")).coalesce(1)
+    every = copies.unionByName(docs(spark, texts).coalesce(1))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(every, labels).where("doc_id <> 1").collect()}
+    assert all(p == int(i % 3 == 0) for i, p in got.items())
+
+
 def test_repeated_voters_count_for_less():
     rng = np.random.default_rng(2)
     y = rng.random(5000) < 0.5

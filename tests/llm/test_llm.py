@@ -270,26 +270,45 @@ def test_repeated_voters_count_for_less():
 # SentencePiece
 
 
-def test_pieces_equal_the_library(spark):
+def test_pieces_equal_the_library(spark, tmp_path):
     import sentencepiece
 
+    from strideframe.llm.queries import op7_sentencepiece
+
     path = tokenizer_path("piece_bpe_32k.model")
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(8)
-    texts = [" ".join(rng.choice(["the", "retitioning", "  Öschen", "été,", "x\ny", "日本語", "\U0001f600", "aaaaaaa", "don't"]) for _ in range(rng.randrange(1, 30))) for _ in range(25)] + ODD
-    got = {r.doc_id: list(r.ids) for r in pieces.encode(docs(spark, texts), path).collect()}
+    texts = [" ".join(rng.choice(["the", "retitioning", "  Öschen", "été,", "x\ny", "日本語", "\U0001f600", "aaaaaaa", "don't", "a1--b"]) for _ in range(rng.randrange(1, 30))) for _ in range(25)] + ODD + ["the" * 7000, "a" * 20_000, "日" * 3000 + "\U0001f600" * 400]
+    got = {(r.doc_id, r.text): r for r in pieces.encode(docs(spark, texts), path).collect()}
+    assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        assert got.get(i, []) == m.encode(t or ""), t
-    rows = pieces.summary(docs(spark, texts), path).collect()
-    assert len(rows) == len(texts) and all(r.round_trip for r in rows) and {r.doc_id: r.n_pieces for r in rows} == {i: len(m.encode(t or "")) for i, t in enumerate(texts)}
+        assert list(got[i, t].ids) == m.encode(t or "") and got[i, t].decoded == (t or ""), t
+    # Repeated rows, one id on several texts, null ids and texts with the blank's own sign.
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3]), (3, "another text"), (None, "no id"), (None, texts[3]), (7, "a \u2581 b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = op7_sentencepiece(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_pieces) for r in out) == Counter((i, len(m.encode(t or ""))) for i, t in rows)
+    assert [r.round_trip for r in out].count(False) == 1
+    same = {(r.n_pieces, r.ids_digest) for r in out if r.doc_id in (3, None)}
+    assert len(same) == 3 and pieces.summary(docs(spark, []), path).count() == 0
+
+
+def test_both_forms_of_the_lattice_agree(spark):
+    v = pieces.Vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    words = {"▁" * rng.randrange(2) + "".join(rng.choice("abcdeinorst日") for _ in range(rng.randrange(1, 30))) for _ in range(200)} | {"a" * 150, "▁" * 20}
+    rows = spark.createDataFrame([(w, 1) for w in sorted(words)], "word string, n long")
+    one, other = ({r.word: list(r.ids) for r in df.collect()} for df in (pieces.walked(rows, v), pieces.lattice(rows, v)))
+    assert one == other and set(one) == words
 
 
-class Tiny:
-    merges, longest, unknown_id, unknown_score, bytes, breaks = False, 3, 0, -20.0, {}, ""
+class Tiny(pieces.Vocabulary):
     scores = {"▁": -2.0, "a": -1.0, "b": -1.5, "ab": -1.8, "▁a": -2.2, "ba": -0.9, "bab": -3.0}
 
-    def table(self, spark):
-        return spark.createDataFrame([(p, i + 1, s) for i, (p, s) in enumerate(self.scores.items())], "piece string, id int, score double")
+    def __init__(self):
+        self.bytes = {}
+        self.setup([(p, i + 1, s) for i, (p, s) in enumerate(self.scores.items())], 0, False)
+        self.unknown_score = -20.0
 
 
 def test_viterbi_is_the_best_path(spark):
@@ -304,7 +323,8 @@ def test_viterbi_is_the_best_path(spark):
                 for s, rest in paths(w[n:]):
                     yield Tiny.scores.get(w[:n], -20.0) + s, [ids.get(w[:n], 0)] + rest
 
-    for r in pieces.lattice(spark.createDataFrame([(w, 1) for w in sorted(set(words))], "word string, n long"), Tiny()).collect():
+    rows = spark.createDataFrame([(w, 1) for w in sorted(set(words))], "word string, n long")
+    for r in pieces.lattice(rows, Tiny()).collect() + pieces.walked(rows, Tiny()).collect():
         best = max(s for s, _ in paths(r.word))
         assert list(r.ids) in [p for s, p in paths(r.word) if math.isclose(s, best)]
 

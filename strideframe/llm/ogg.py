@@ -162,19 +162,25 @@ def store_bytes(samples: bytes, rate: int = 8000, streams: int = 2, packet: int
     return b"".join(heads + turns)
 
 
+def identified(stream: Stream) -> tuple | None:
+    """The fields of a stream's identification packet, if store_bytes wrote it: others may begin like it, or be cut short."""
+    first = stream.packets[0] if stream.packets else b""
+    return _IDENT.unpack(first) if len(first) == _IDENT.size and first.startswith(_MAGIC) else None
+
+
 def restore_bytes(data: bytes) -> tuple[bytes, list[Stream], int]:
     """The samples that store_bytes stored, the streams and the count of what was wrong."""
     pages, skipped = read_pages(data)
     streams = demultiplex(pages)
-    own = sorted((_IDENT.unpack(s.packets[0])[4], s) for s in streams if s.packets and s.packets[0][:7] == _MAGIC)
-    turns = max((len(s.packets) for _, s in own), default=1) - 1
-    samples = b"".join(s.packets[1 + t] for t in range(turns) for _, s in own if 1 + t < len(s.packets))
+    own = sorted(((ident[4], s.serial, s) for s in streams if (ident := identified(s))), key=lambda x: x[:2])
+    turns = max((len(s.packets) for *_, s in own), default=1) - 1
+    samples = b"".join(s.packets[1 + t] for t in range(turns) for *_, s in own if 1 + t < len(s.packets))
     return samples, streams, skipped + sum(s.spoiled for s in streams)
 
 
 def timestamps(stream: Stream, rate: int) -> list[float | None]:
-    """Seconds at the end of each packet; None where no page says it."""
-    return [g / rate if g >= 0 else None for g in stream.granules]
+    """Seconds at the end of each packet; None where no page says it, or at an unknown rate (0)."""
+    return [g / rate if g >= 0 and rate else None for g in stream.granules]
 
 
 def padded(data: bytes, to: int = 64) -> bytes:
@@ -201,7 +207,7 @@ def store(payload: str | Column, **how) -> Column:
 
 
 def _rate(streams: list[Stream]) -> int:
-    return next((_IDENT.unpack(s.packets[0])[2] for s in streams if s.packets and s.packets[0][:7] == _MAGIC), 8000)
+    return next((ident[2] for s in streams if (ident := identified(s))), 8000)
 
 
 _SUMMARY = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, streams int, pages int, packets int, faults int, seconds double"

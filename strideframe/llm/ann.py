@@ -29,15 +29,22 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     return rows.join(F.broadcast(sizes), F.size("embedding") == F.col("n")).select("vec_id", "embedding")
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths that neither overflow nor vanish."""
+    top = np.abs(x).max(axis=1)
+    return top * np.linalg.norm(x / top[:, None], axis=1)
+
+
 class Block:
     """Sorted projections of one block of vectors (fewer than 65,536)."""
 
     def __init__(self, x: np.ndarray, projections: int, seed: int):
         n = len(x)
         assert n < 1 << 16 and projections < 256
-        norms = np.einsum("ij,ij->i", x, x)
+        scaled = x / np.abs(x).max()
+        norms = np.einsum("ij,ij->i", scaled, scaled)
         top = norms.max()
-        lifted = np.column_stack([x, np.sqrt(np.maximum(0, top - norms))]) / np.sqrt(top)
+        lifted = np.column_stack([scaled, np.sqrt(np.maximum(0, top - norms))]) / np.sqrt(top)
         random = np.random.default_rng(seed)
         self.x, self.lines = x, random.standard_normal((x.shape[1] + 1, projections))
         values = np.ascontiguousarray((lifted @ self.lines).T)
@@ -58,6 +65,7 @@ class Block:
         if need >= n:
             return [np.arange(n)] * len(asked)
         least = int(np.ceil(share * m))
+        asked = asked / np.abs(asked).max(axis=1)[:, None]
         centre = (asked / np.linalg.norm(asked, axis=1)[:, None]) @ self.lines[:-1]
         apart = np.partition(np.abs(self.some[None] - centre[:, None].astype(np.float32)), least - 1, axis=2)[:, :, least - 1]
         first = np.quantile(apart, min(1, need / n), axis=1)
@@ -105,21 +113,28 @@ def search(
     n, n_asked = rows.count(), asked.count()
     blocks, parts = max(1, -(-n // block_rows)), max(1, -(-n_asked // query_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"))
-    right = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    left = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.pmod(F.xxhash64("vec_id", "embedding", F.lit(1)), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"))
+    right = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
 
     def of_blocks(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(asked) and len(held):
             held = held.sort_values("vec_id", kind="stable")
-            ids = held["vec_id"].to_numpy()
-            block = Block(np.stack(held["embedding"].to_numpy()), projections, seed)
-            need = k + 1 + int(verify * len(ids))
+            every, x = held["vec_id"].to_numpy(), np.stack(held["embedding"].to_numpy())
+            # Vectors of like length share one set of arrays: a few long ones would leave the others at one place.
+            octave = np.floor(np.log2(lengths(x)))
+            parts = [np.flatnonzero(octave == o) for o in np.unique(octave)]
+            blocks = [(every[p], Block(x[p], projections, seed)) for p in parts]
             for i in range(0, len(asked), 64):
                 some = np.stack(asked["query"][i : i + 64].to_numpy())
-                for q_id, q, found in zip(asked["query_id"][i : i + 64], some, block.search(some, need, share, start, widen)):
-                    found = found[ids[found] != q_id]
-                    scores = block.x[found] @ q
+                all_found = [block.search(some, k + 1 + int(verify * len(ids)), share, start, widen) for ids, block in blocks]
+                for j, (q_id, q) in enumerate(zip(asked["query_id"][i : i + 64], some)):
+                    near = [(ids[f[j]], block.x[f[j]]) for (ids, block), f in zip(blocks, all_found)]
+                    ids, own = np.concatenate([a for a, _ in near]), np.concatenate([b for _, b in near])
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        scores = own @ q
+                    found = np.flatnonzero(ids != q_id)
+                    scores = scores[found]
                     best = np.lexsort((ids[found], -scores))[:k]
                     out["query_id"].append(np.full(len(best), q_id))
                     out["vec_id"].append(ids[found][best])

@@ -47,7 +47,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these are encoded whole: they are one id each, whatever stands beside them.
+        self.added = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.tokenizer.post_processor = None  # it would add no ids, and only trim offsets
         self.known: dict[str | tuple[str], bytes] = {}
 
@@ -63,7 +64,9 @@ class Encoder:
         # Every part but the first stands for itself with a blank before it; the first goes by a key of another type.
         parts = []
         for t in texts:
-            if _ODD.search(t):
+            if self.added.search(t):
+                parts.append([(t,)])
+            elif _ODD.search(t):
                 first, *rest = _BEFORE.split(t)
                 parts.append([(first,), *(x[1:] for x in rest)])
             else:

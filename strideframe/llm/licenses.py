@@ -56,9 +56,9 @@ def phrase_places(spaced: Column, words: Column, phrase: str) -> Column:
 
 
 def template_grams(spark: SparkSession, k: int, templates: dict[str, str]) -> DataFrame:
-    """(gram, label, at, n_words) of every position of every template; as large as the templates are."""
+    """(gram, label, at, n_words, said) of every position of every template, said: its k words; as large as the templates are."""
     rows = spark.createDataFrame(sorted(templates.items()), "label string, text string").withColumn("words", words_of(spaced_words(F.col("text"))))
-    return rows.select("label", F.size("words").alias("n_words"), F.posexplode(kgrams(F.col("words"), k)).alias("at", "gram"))
+    return rows.select("label", F.size("words").alias("n_words"), F.posexplode(kgrams(F.col("words"), k)).alias("at", "gram"), "words").withColumn("said", F.slice("words", F.col("at") + 1, k)).drop("words")
 
 
 def merged_diagonals(votes: DataFrame, keys: list[str], slack: int, reach: int, rounds: int = 2) -> DataFrame:
@@ -88,8 +88,10 @@ def license_spans(rows: DataFrame, keys: list[str], words: str, k: int = 4, slac
     must hold; purity: share of the span's words that must match.
     """
     known = F.broadcast(template_grams(rows.sparkSession, k, templates or TEMPLATES))
-    grams = rows.select(*keys, F.posexplode(kgrams(F.col(words), k)).alias("place", "gram"))
-    votes = grams.join(known, "gram").withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*keys, "label", "n_words", "diagonal").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.collect_set("at").alias("ats"))
+    grams = rows.select(*keys, F.col(words).alias("all_words"), F.posexplode(kgrams(F.col(words), k)).alias("place", "gram"))
+    # A vote counts only if the document's words themselves are the template's.
+    agreed = grams.join(known, "gram").where(F.slice("all_words", F.col("place") + 1, k) == F.col("said"))
+    votes = agreed.withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*keys, "label", "n_words", "diagonal").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.collect_set("at").alias("ats"))
     islands = merged_diagonals(votes, [*keys, "label"], slack, slack + k)
     covered = lambda c: F.size(F.array_distinct(F.flatten(F.transform(c, lambda t: F.sequence(t, t + (k - 1))))))
     spans = islands.groupBy(*keys, "label", "n_words", "span").agg(F.min("lo").cast("long").alias("first_word"), (F.max("hi") + (k - 1)).cast("long").alias("last_word"), covered(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("matched"))

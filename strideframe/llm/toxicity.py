@@ -29,6 +29,8 @@ from strideframe.llm.linear import fit_linear
 
 #: Labelled rows that the lexicon and the classifier are learned from, at most.
 SAMPLE_ROWS = 16_000
+#: How often a label is held to be right: what it weighs beside the other voters in a posterior.
+LABEL_ACCURACY = 0.99
 #: Entries of the lexicon, at most.
 LEXICON = 3_000
 GROUPS = 4
@@ -181,8 +183,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
         patterns = [(tuple(r["votes"]), r["n"], np.nan) for r in counts]
         patterns += [(k, c - ones[k], 0.0) for k, c in labelled.items() if c > ones[k]] + [(k, c, 1.0) for k, c in ones.items()]
         model = fit_label_model(np.array([p[0] for p in patterns]), np.array([p[1] for p in patterns], float), np.array([p[2] for p in patterns]))
-        # A sampled row's posterior is between what its votes say and its label.
-        target = 0.5 * y + 0.5 * model.posterior(x[:, :v])
+        # The posterior of a sampled row, its label being one more voter.
+        p = np.clip(model.posterior(x[:, :v]), 1e-6, 1 - 1e-6)
+        target = 1 / (1 + np.exp(-np.log(p / (1 - p)) - (2 * y - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))))
         weights = fit_linear(np.column_stack([np.ones(len(x)), x]), target)
         z = F.lit(float(weights[0])) + sum((F.get("x", F.lit(i)) * float(w) for i, w in enumerate(weights[1:])), F.lit(0.0))
         score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))

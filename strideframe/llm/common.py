@@ -33,9 +33,11 @@ def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is named (tests, one machine) a folder of its own."""
+    """The shared folder that the cluster names; only where none is named and Spark is one process (tests) a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-strideframe-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()

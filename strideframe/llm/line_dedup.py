@@ -30,7 +30,10 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with `text` replaced by its kept lines, plus n_lines and n_dropped (long). Needs no unique doc_id."""
+    """docs with `text` replaced by its kept lines, plus n_lines and n_dropped (long). Needs no unique doc_id.
+
+    Columns of docs that have these names, or begin with _sf_, are replaced or dropped; all others pass through.
+    """
     docs = docs.withColumn("_sf_t", text_or_empty(text)).withColumn("_sf_th", F.xxhash64("_sf_t"))
     wanted = materialize(frequent_lines(docs, min_docs, min_chars, text), "frequent-lines")
     lines = _hashed(docs.select(F.col(doc_id).alias("_sf_id"), "_sf_th", F.posexplode(line_keys(F.col("_sf_t"))).alias("_sf_pos", "_sf_key")).where(F.length("_sf_key") >= min_chars))

@@ -226,7 +226,10 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with personal data in `text` replaced. The spans are found a second time, so that no text is shuffled or written."""
+    """docs with personal data in `text` replaced. The spans are found a second time, so that no text is shuffled or written.
+
+    Columns of docs named _sf_found or _sf_spans are dropped; all others pass through.
+    """
     t = text_or_empty(text)
     model = train_on(docs.select(candidates(t).alias("spans")))
     # Columns of their own: each is computed once, though it is used several times.

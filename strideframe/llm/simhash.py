@@ -141,6 +141,109 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 3, seed: int
     return lookup_hot(rows, named, ["fp"], "n").select("doc_id", "text_hash", "fp", "component_id", *(["row", "root"] if row else []))
 
 
+#: Shingles in a group, about, and groups of a text that are looked at.
+GROUP_SHINGLES, GROUPS = 6, 24
+
+
+def group_prints(text: str | None, words_per_shingle: int = 5, seed: int = 42, similarity: float = 0.8) -> list[int]:
+    """Fingerprints of groups of the text's distinct shingles, dealt by their hashes, as signed numbers.
+
+    A text of n shingles has about n / GROUP_SHINGLES groups (a power of two), of which the first GROUPS count. Texts that are
+    similar differ in few shingles, so that most likely some group is the same in both. Where a similar text may be so much
+    longer or shorter that it has another number of groups, the groups of that number count too.
+    """
+    h = np.unique(shingle_hashes(text, words_per_shingle, seed))
+    if not len(h):
+        return []
+    level = lambda n: max(0, int(np.ceil(np.log2(n / GROUP_SHINGLES))))
+    out: list[np.ndarray] = []
+    ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    mixed = h * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(level(len(h) * similarity), level(len(h) / similarity) + 1):
+        at = (mixed >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(h), np.int64)
+        order = np.flatnonzero(at < GROUPS)
+        order = order[np.argsort(at[order], kind="stable")]
+        if not len(order):
+            continue
+        own, first, n = np.unique(at[order], return_index=True, return_counts=True)
+        sums = np.add.reduceat(ones[order], first, axis=0, dtype=np.int64)
+        prints = np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        # The same print counts only in the same group of as many groups.
+        out.append((prints ^ ((np.uint64(k << 8) + own.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))).view(np.int64))
+    return np.unique(np.concatenate(out)).tolist() if out else []
+
+
+def similarity_of(a: str | None, b: str | None, words_per_shingle: int = 5, seed: int = 42) -> float:
+    """Shared part of the distinct shingles of both texts; of two texts without any, 1."""
+    x, y = (np.unique(shingle_hashes(t, words_per_shingle, seed)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def similar_links(texts: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42, rounds: int = 64) -> DataFrame:
+    """(a, b), a < b: verified links between the rows of texts (v, text; texts distinct) of that similarity or more.
+
+    Rows meet in groups of equal fingerprint. No pairs are listed within a group: each round its smallest row is held against
+    all others; those that are similar are linked and leave the group, and the others go on without it, until every group is
+    used up. Links through the smallest row connect what is similar; the groups are many, so that a pair that one of them
+    doesn't hold against each other most likely meets in another.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series([group_prints(t, words_per_shingle, seed, similarity) for t in x])
+
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity_of(x, y, words_per_shingle, seed) >= similarity for x, y in zip(a, b)])
+
+    left = materialize(texts.select("v", F.explode(prints("text")).alias("key")), "group-prints")
+    checked, out = None, None
+    for _ in range(rounds):
+        groups = materialize(left.groupBy("key").agg(F.min("v").alias("a"), F.count("*").alias("n")).where("n > 1"), "print-groups")
+        if groups.isEmpty():
+            return out if out is not None else texts.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0)
+        met = materialize(lookup_hot(left, groups, ["key"], "n").where("v <> a").select("key", "a", F.col("v").alias("b")), "met")
+        pairs = met.select("a", "b").distinct()
+        if checked is not None:
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        weighed = pairs.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
+        looked = pairs.groupBy("a").agg(F.count("*").alias("n")).join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
+        judged = lookup_hot(weighed, looked, ["a"], "n", heavy_rows=32).select("a", "b", similar("text_a", "text_b").alias("yes"))
+        new = materialize(judged, "judged-pairs")
+        checked = new if checked is None else checked.unionByName(new)
+        yes = checked.where("yes").select("a", "b")
+        out = yes
+        # Rows linked to their group's smallest leave it, and so does that one.
+        left = materialize(met.join(yes, ["a", "b"], "left_anti").select(F.col("b").alias("v"), "key"), "left-groups")
+    raise RuntimeError(f"groups weren't used up in {rounds} rounds")
+
+
+def keep_one_of_similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each group of docs whose texts are linked: equal, of fingerprints at BITS or fewer differing bits (pivot
+    tables), or of the given similarity of their shingles (groups of shingles, verified). It is the row of the smallest id
+    (nulls last), then of the smallest text hash; of rows equal in both any one stays. Columns that begin with _sf_ are dropped.
+    """
+    keyed = materialize(docs.withColumn("_sf_row", F.monotonically_increasing_id()), "keyed-rows")
+    t = text_or_empty(text)
+    rows = materialize(keyed.select(F.col("_sf_row").alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("text_hash"), F.xxhash64(F.lit(1), t).alias("h2"), fingerprint(F.col(text), words_per_shingle, seed).alias("fp")), "fingerprints")
+    # Classes of equal texts: partial minima, whatever their size. v: the class's number, its smallest row.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row")
+    classes = materialize(rows.groupBy("text_hash", "h2").agg(F.min("row").alias("v"), F.min(order).alias("first"), F.min("fp").alias("fp")), "text-classes")
+    by_print = materialize(classes.groupBy("fp").agg(F.min("v").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    near = links(by_print.select("fp"))
+    least = by_print.select("fp", "least")
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = lookup_hot(classes.select("v", "fp"), by_print, ["fp"], "n").where("v <> least").select(F.col("least").alias("a"), F.col("v").alias("b"))
+    texts = keyed.select(F.col("_sf_row").alias("v"), F.col(text).alias("text")).join(classes.select("v"), "v", "left_semi")
+    texts = materialize(texts, "distinct-texts")
+    alike = similar_links(texts, words_per_shingle, similarity, seed)
+    roots = components(near.unionByName(same).unionByName(alike))
+    grouped = classes.join(roots, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("first").alias("first"))
+    return keyed.join(grouped.select(F.col("first.row").alias("_sf_row")), "_sf_row", "left_semi").drop("_sf_row")
+
+
 def keep_one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """One row of each group of docs: the one of the smallest id (nulls last), then the smallest text hash; of rows that are
     equal in both any one stays.

@@ -71,6 +71,16 @@ def test_ogg_query_columns(spark):
     assert sum(len(r.p) for r in docs(spark, ["x" * 3000]).select(ogg.packets(ogg.store("text")).alias("p")).collect()) == 3 + 2
 
 
+def test_foreign_ogg_streams_do_not_stop_a_job():
+    def stream(serial, ident):
+        return ogg.write_page(ogg.FIRST, 0, serial, 0, ogg.lacing_of(len(ident)), ident) + ogg.write_page(ogg.LAST, 3, serial, 1, ogg.lacing_of(3), b"abc")
+
+    same_place = ogg._IDENT.pack(ogg._MAGIC, 1, 0, 4, 0, 2)
+    for media in (stream(1, same_place) + stream(2, same_place), stream(1, ogg._MAGIC), stream(1, b""), None, b""):
+        assert ogg.summary_of(media) and ogg.packets_of(media) is not None
+    assert ogg.restore_bytes(stream(2, same_place) + stream(1, same_place))[0] == b"abcabc"
+
+
 # Line de-duplication
 
 
@@ -161,7 +171,6 @@ def test_packed_documents(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice(["the", "Of", "a\nb", "x  y", "don't", "été", "<|endoftext|>"]) for _ in range(rng.randrange(300))) for _ in range(60)] + ODD
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = {}
     for i, x in enumerate(texts):
         ids = t.encode(x or "", add_special_tokens=False).ids + [0]
@@ -435,3 +444,89 @@ def test_languages(spark):
     out = {r.text: r.s for r in docs(spark, ["123 !", None, "", en]).select("text", langid.predicted(model, spark, F.col("text")).alias("s")).collect()}
     assert out["123 !"].lang_pred == out[None].lang_pred == out[""].lang_pred == "und" and out[en].lang_pred == "en"
     assert langid.train(train.limit(0)).predict(en) == ("und", 0.0, [])
+
+
+def test_search_of_extreme_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 8))
+    x[7] *= 1e200
+    x[11] *= 1e6
+    x[13] *= 1e-200
+    x[20:60] = 1.0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, k=5, block_rows=200).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        order = [i for i in np.lexsort((np.arange(400), -(x @ x[q]))) if i != q][:5]
+        hits += len(set(order) & set(found))
+    assert len(got) == 20 and all(len(f) == 5 for f in got.values()) and hits >= 90
+    same = spark.createDataFrame([(20, [1.0, float(i % 7 + 1)]) for i in range(300)] + [(21, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id for r in ann.search(same, k=3, block_rows=50).collect()} == {21}
+
+
+# SimHash near-duplicates of five words
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_similar_rows_equal_brute_force(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(900)}" for _ in range(rng.choice([3, 12, 60, 200, 700]))] for _ in range(40)]
+    texts = [" ".join(b) for b in base] + [edited(rng, base[i % 40], 1 + i % 9) for i in range(80)] + [" ".join(base[0])] * 3 + ODD
+    rows = [(i % 150, t) for i, t in enumerate(texts)] + [(None, texts[5]), (None, edited(rng, base[5], 1)), (0, texts[0])]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    prints = [simhash.simhash(t, 5) for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin((prints[i] ^ prints[j]) & (2**64 - 1)).count("1") <= 2 or simhash.similarity_of(rows[i][1], rows[j][1]) >= 0.8:
+                root[find(i)] = find(j)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one_of_similar(df).collect()]
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r)
+    assert len(kept) == len(groups)
+    for own in groups.values():
+        first = min((d is None, d or 0) for d, _ in own)
+        assert any(((d is None, d or 0) == first) and (d, t) in own for d, t in kept)
+    assert simhash.keep_one_of_similar(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages_in_turn(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    clean = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10)]
+    rows = []
+    for i in range(240):
+        words = [rng.choice(clean) for _ in range(60)]
+        if i % 6 == 0:
+            words[5::12] = [rng.choice(["grobian", "schlimmer", "grobheit"]) for _ in words[5::12]]
+        rows.append((i, " ".join(words) + f"\nShared line of all\nmail a{i}@example.com now"))
+    rows += [(1000 + i, rows[i][1].replace("word", "Word", 1)) for i in range(1, 20, 6)] + [(None, None), (2000, ""), (2000, "")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs_, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs_ = stage(spark, docs_, str(tmp_path)).cache()
+        kept.append(docs_.collect())
+    toxic, lines, near, private, packed = kept
+    assert {r.doc_id for r in toxic} == {i for i, _ in rows if i is None or i >= 1000 or i % 6}
+    assert len(lines) == len(toxic) and not any("Shared line" in r.text for r in lines)
+    assert {r.doc_id for r in near} == {r.doc_id for r in toxic if r.doc_id is not None and r.doc_id < 1000} | {2000} and len(near) == 201
+    assert all("@example" not in r.text and r.n_chars == len(r.text) for r in private) and len(private) == len(near)
+    assert {r.doc_id for r in packed} == {r.doc_id for r in near} and sum(r.piece == 0 for r in packed) == len(near)
+    assert sorted(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32").collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)

@@ -154,6 +154,19 @@ def tile(lat, lon) -> Column:
     return F.struct(F.floor(_c(lat) / TILE_DEG).cast("int").alias("row"), (F.pmod(F.floor(_c(lon) / TILE_DEG) + cols // 2, F.lit(cols)) - cols // 2).cast("int").alias("col"))
 
 
+def circle_tiles(lat, lon, radius_m, n: int = 720) -> Column:
+    """array<struct<row, col>>: the tiles that a round zone's outline passes (n samples), and those whose centre is inside."""
+    lat, lon, radius_m = map(_c, (lat, lon, radius_m))
+    ring = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: destination(lat, lon, i * (360.0 / n), radius_m))
+    flat = F.transform(ring, lambda p: F.struct(F.floor(p["lat"] / TILE_DEG).cast("int").alias("row"), F.floor(unwrap_lon(p["lon"], lon) / TILE_DEG).cast("int").alias("col")))
+    edge = F.array_distinct(flat)
+    low, high = (lambda f: f(F.transform(edge, lambda t: t["row"]))), (lambda f: f(F.transform(edge, lambda t: t["col"])))
+    box = F.flatten(F.transform(F.sequence(low(F.array_min), low(F.array_max)), lambda r: F.transform(F.sequence(high(F.array_min), high(F.array_max)), lambda c: F.struct(r.alias("row"), c.alias("col")))))
+    inside = F.filter(box, lambda t: distance_m(lat, lon, (t["row"] + 0.5) * TILE_DEG, (t["col"] + 0.5) * TILE_DEG) <= radius_m)
+    cols = int(360 / TILE_DEG)
+    return F.array_distinct(F.transform(F.concat(edge, inside), lambda t: F.struct(t["row"].alias("row"), (F.pmod(t["col"] + cols // 2, F.lit(cols)) - cols // 2).cast("int").alias("col"))))
+
+
 def explorer_cell(lat, lon, size_m: float = EXPLORER_CELL_M) -> Column:
     """struct<i, j>; longitude is scaled at the point's own latitude."""
     lat, lon = _c(lat), _c(lon)

@@ -14,22 +14,37 @@ from pyspark.sql.window import Window
 from strideframe.functions import geo
 
 
-def _cell_sizes(radius_m: float, max_lat: float) -> tuple[float, float]:
-    dlat = radius_m / geo.M_PER_DEG * 1.001
-    return dlat, dlat / max(0.01, math.cos(math.radians(max_lat)))
+def _height(cell_m: float) -> float:
+    return cell_m / geo.M_PER_DEG * 1.001
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, max_lat: float = 70.0, min_m: float = 0.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def _columns(row: Column, height: float) -> Column:
+    """How many cells a row of them has round the earth: at least as wide as high where the row is nearest to a pole."""
+    far = F.least(F.lit(90.0), F.greatest(F.abs(row * height), F.abs((row + 1) * height)))
+    return F.greatest(F.lit(1.0), F.floor(360.0 * F.cos(F.radians(far)) / height))
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    return F.floor((lon + 180.0) / 360.0 * columns)
+
+
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float, min_m: float = 0.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Pairs at most radius_m (and at least min_m) apart: left's columns, right's with the prefix r_, and dist_m.
 
-    Cells are as wide as the radius at latitude max_lat, so that a point's 3 x 3 cells hold all that it can reach.
-    Longitudes must not pass 180 within a pair.
+    Cells are as high as the radius and, in each row, about as wide, so that pairs are found at any latitude and across
+    longitude 180. Rows without coordinates have no pairs.
     """
-    dlat, dlon = _cell_sizes(radius_m, max_lat)
-    row, col = (lambda c: F.floor(c / dlat)), (lambda c: F.floor(c / dlon))
-    near = lambda c: F.explode(F.sequence(c - 1, c + 1))
-    a = left.withColumn("_sf_i", row(F.col(lat))).withColumn("_sf_j", col(F.col(lon)))
-    b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).withColumn("_sf_i", near(row(F.col(f"r_{lat}")))).withColumn("_sf_j", near(col(F.col(f"r_{lon}"))))
+    height = _height(radius_m)
+    row = lambda c: F.floor(c / height)
+    a = left.withColumn("_sf_i", row(F.col(lat))).withColumn("_sf_j", F.pmod(_column(F.col(lon), _columns(F.col("_sf_i"), height)), _columns(F.col("_sf_i"), height)).cast("bigint"))
+    r_lat, r_lon = F.col(f"r_{lat}"), F.col(f"r_{lon}")
+    b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).withColumn("_sf_i", F.explode(F.sequence(row(r_lat) - 1, row(r_lat) + 1)))
+    # How far in longitude the radius reaches from that latitude; all round where a pole is within it.
+    sine = math.sin(min(math.pi / 2, radius_m / geo.EARTH_RADIUS_M)) * 1.001 / F.greatest(F.lit(1e-12), F.cos(F.radians(r_lat)))
+    n = _columns(F.col("_sf_i"), height)
+    reach = F.when(sine >= 1.0, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sine))))
+    columns = F.when(reach * 2 >= 360.0 * (1 - 2 / n), F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.transform(F.sequence(_column(r_lon - reach, n).cast("bigint"), _column(r_lon + reach, n).cast("bigint")), lambda c: F.pmod(c, n.cast("bigint"))))
+    b = b.withColumn("_sf_j", F.explode(columns))
     pairs = a.join(b, ["_sf_i", "_sf_j"]).withColumn("dist_m", geo.distance_m(lat, lon, f"r_{lat}", f"r_{lon}"))
     return pairs.where((F.col("dist_m") <= radius_m) & (F.col("dist_m") >= min_m)).drop("_sf_i", "_sf_j")
 
@@ -40,18 +55,27 @@ def nearest(pairs: DataFrame, keys: list[str], k: int = 1, tie: str = "r_id") ->
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def segment_join(points: DataFrame, segments: DataFrame, radius_m: float, max_lat: float = 70.0) -> DataFrame:
-    """points x segments (seg, a_lat, a_lon, b_lat, b_lon) within radius_m, by the cells along each segment; plus dist_m."""
-    dlat, dlon = _cell_sizes(radius_m, max_lat)
+def segment_join(points: DataFrame, segments: DataFrame, radius_m: float, cell_m: float = 250.0) -> DataFrame:
+    """points x segments (seg, a_lat, a_lon, b_lat, b_lon) within radius_m; plus dist_m.
+
+    A point has one cell; a segment goes to the cells that it comes within the radius of, row by row. cell_m: about a tenth of
+    the length of a segment keeps both the cells and the pairs few. Cells widen with the latitude. Ends must lie on one side
+    of longitude 180.
+    """
+    height = _height(max(cell_m, radius_m))
+    margin = _height(radius_m)
     a_lat, b_lat, a_lon, b_lon = map(F.col, ("a_lat", "b_lat", "a_lon", "b_lon"))
-    rows = segments.withColumn("_sf_i", F.explode(F.sequence(F.floor(F.least(a_lat, b_lat) / dlat) - 1, F.floor(F.greatest(a_lat, b_lat) / dlat) + 1)))
-    # The part of the segment within a row of cells and the rows beside it says which columns can be near.
-    share = lambda row: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (row * dlat - a_lat) / F.nullif(b_lat - a_lat, F.lit(0.0))))
-    lon = lambda t: a_lon + (b_lon - a_lon) * t
-    t1, t2 = (F.when(a_lat == b_lat, whole).otherwise(share(F.col("_sf_i") + k)) for whole, k in ((0.0, -1), (1.0, 2)))
-    columns = F.sequence(F.floor(F.least(lon(t1), lon(t2)) / dlon) - 1, F.floor(F.greatest(lon(t1), lon(t2)) / dlon) + 1)
+    row = lambda c: F.floor(c / height)
+    rows = segments.withColumn("_sf_i", F.explode(F.sequence(row(F.least(a_lat, b_lat) - margin), row(F.greatest(a_lat, b_lat) + margin))))
+    # The part of the segment that is within the radius of a row of cells says which columns can be near.
+    share = lambda lat: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (lat - a_lat) / F.nullif(b_lat - a_lat, F.lit(0.0))))
+    at = lambda t: a_lon + (b_lon - a_lon) * t
+    t1, t2 = (F.when(a_lat == b_lat, whole).otherwise(share(edge)) for whole, edge in ((0.0, F.col("_sf_i") * height - margin), (1.0, (F.col("_sf_i") + 1) * height + margin)))
+    n = _columns(F.col("_sf_i"), height)
+    wide = margin / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(a_lat), F.abs(b_lat)) + margin))))
+    columns = F.sequence(_column(F.least(at(t1), at(t2)) - wide, n).cast("bigint"), _column(F.greatest(at(t1), at(t2)) + wide, n).cast("bigint"))
     cells = rows.withColumn("_sf_j", F.explode(columns))
-    placed = points.withColumn("_sf_i", F.floor(F.col("lat") / dlat)).withColumn("_sf_j", F.floor(F.col("lon") / dlon))
+    placed = points.withColumn("_sf_i", row(F.col("lat"))).withColumn("_sf_j", _column(F.col("lon"), _columns(F.col("_sf_i"), height)).cast("bigint"))
     found = placed.join(cells, ["_sf_i", "_sf_j"]).withColumn("dist_m", geo.segment_distance_m("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon"))
     return found.where(F.col("dist_m") <= radius_m).drop("_sf_i", "_sf_j")
 

@@ -89,3 +89,26 @@ def still_windows(rows: DataFrame, keys: list[str], t: str, speed: str, below: f
 def first_after(rows: DataFrame, keys: list[str], t: str, start: Column, reached: Column) -> DataFrame:
     """(*keys, lag_ms): from start to the first row at or after it where `reached` holds; null if none."""
     return rows.groupBy(*keys).agg((F.min(F.when(reached & (F.col(t) >= start), F.col(t))) - F.min(start)).alias("lag_ms"))
+
+
+def fixed_spacing(segments: DataFrame, key: str, order: str, spacing_m: float) -> DataFrame:
+    """(key, k, lat, lon): places every spacing_m along each key's segments (a_lat, a_lon, b_lat, b_lon), from its start on.
+
+    What is left of a segment carries over to the next. Where a segment ends just at a place, the next begins with that place
+    again (k goes on counting).
+    """
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = segments.withColumn("_sf_m", geo.distance_m("a_lat", "a_lon", "b_lat", "b_lon"))
+    carry = F.coalesce(F.sum("_sf_m").over(w), F.lit(0.0)) % spacing_m
+    rows = rows.withColumn("_sf_at", F.when(carry == 0, 0.0).otherwise(spacing_m - carry))
+    rows = rows.withColumn("_sf_n", F.when(F.col("_sf_at") <= F.col("_sf_m"), F.floor((F.col("_sf_m") - F.col("_sf_at")) / spacing_m) + 1).otherwise(0))
+    rows = rows.withColumn("_sf_k", F.coalesce(F.sum("_sf_n").over(w), F.lit(0))).where("_sf_n > 0").withColumn("_sf_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_sf_n") - 1)))
+    t = F.when(F.col("_sf_m") > 0, (F.col("_sf_at") + F.col("_sf_s") * spacing_m) / F.col("_sf_m")).otherwise(0.0)
+    on = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * t
+    return rows.select(key, (F.col("_sf_k") + F.col("_sf_s")).alias("k"), on("a_lat", "b_lat").alias("lat"), on("a_lon", "b_lon").alias("lon"))
+
+
+def straight_links(segments: DataFrame, step_m: float, slack: float = 0.05) -> DataFrame:
+    """segments whose length is a step, give or take."""
+    m = geo.distance_m("a_lat", "a_lon", "b_lat", "b_lon")
+    return segments.where(m.between(step_m * (1 - slack), step_m * (1 + slack)))

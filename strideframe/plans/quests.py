@@ -112,10 +112,10 @@ def j04_multiset_maximum(spark, d):
     return c.groupBy("letter").agg(F.max("n").alias("n"))
 
 
-@query(f"{S}, g as (select game, count(*) as n, 20 as seats from slots group by game), t as (select sum(n) as total from g where game % 50 = 0), f as (select game, n * 100 // total as base, n * 100 % total as rem from g, t where game % 50 = 0), r as (select *, row_number() over (order by rem desc, game) as k, 100 - sum(base) over () as left_ from f) select game, cast(base + case when k <= left_ then 1 else 0 end as bigint) as seats from r")
+@query(f"{S}, g as (select game, count(*) as n, 20 as seats from slots group by game), t as (select sum(n) as total from g), f as (select game, n * 100 // total as base, n * 100 % total as rem from g, t), r as (select *, row_number() over (order by rem desc, game) as k, 100 - sum(base) over () as left_ from f) select game, cast(base + case when k <= left_ then 1 else 0 end as bigint) as seats from r")
 def l09_apportioned(spark, d):
     """100 seats by largest remainders, in integers; ties to the earlier."""
-    g = slots(spark, d).where("game % 50 = 0").groupBy(F.lit(0).alias("all_"), "game").agg(F.count("*").alias("n"))
+    g = slots(spark, d).groupBy(F.lit(0).alias("all_"), "game").agg(F.count("*").alias("n"))
     return A.apportion(g, "all_", "n", "game", 100).select("game", "seats")
 
 
@@ -198,14 +198,18 @@ def a10_request_keys(spark, d):
     return spark.createDataFrame([("",), ("a",), ("foobar",)], "s string").select("s", text.fnv1a64(F.col("s")).alias("h"))
 
 
-@query(f"{ctes('slots', 'spots')}, c as (select s.location_id, s.tier, p.id, {H('40.02','-110.97','p.lat','p.lon')} * 1.3 / 75.0 as minutes from slots s join spots p on s.game % 50 = p.k % 50 where s.location_id % 40 = 0), k as (select *, abs(minutes - (tier - 0.5) * 8) as score from c), r as (select *, row_number() over (partition by location_id order by round(score, 6), id) as n from k) select location_id, id, n, cast(floor(round(score, 6) * 100) as bigint) as score_cents from r where n <= 4")
+@query(f"{ctes('slots', 'spots')}, c as (select s.location_id, s.tier, p.id, {H('40.02','-110.97','p.lat','p.lon')} * 1.3 / 75.0 as minutes from slots s join spots p on s.game % 50 = p.k % 50), k as (select *, abs(minutes - (tier - 0.5) * 8) as score from c), r as (select *, row_number() over (partition by location_id order by round(score, 6), id) as n from k) select location_id, id, n, cast(floor(round(score, 6) * 100) as bigint) as score_cents from r where n <= 4")
 def l02_candidates(spark, d):
-    """Candidates of each slot by how far their effort is from what is wanted: the four best."""
-    s = slots(spark, d).where("location_id % 40 = 0").withColumn("part", F.col("game") % 50)
+    """Candidates of each slot by how far their effort is from what is wanted: the four best.
+
+    They depend on the slot's part and tier alone: the best are found once for each of these, and slots look them up.
+    """
+    s = slots(spark, d).select("location_id", "tier", (F.col("game") % 50).alias("part"))
     p = spots(spark, d).select((F.col("k") % 50).alias("part"), "id", (geo.distance_m(40.02, -110.97, "lat", "lon") * 1.3 / 75.0).alias("minutes"))
-    c = s.join(p, "part").withColumn("score", F.round(F.abs(F.col("minutes") - (F.col("tier") - 0.5) * 8), 6))
-    w = Window.partitionBy("location_id").orderBy("score", "id")
-    return c.withColumn("n", F.row_number().over(w).cast("bigint")).where("n <= 4").select("location_id", "id", "n", F.floor(F.col("score") * 100).cast("bigint").alias("score_cents"))
+    c = s.select("part", "tier").distinct().join(p, "part").withColumn("score", F.round(F.abs(F.col("minutes") - (F.col("tier") - 0.5) * 8), 6))
+    w = Window.partitionBy("part", "tier").orderBy("score", "id")
+    best = c.withColumn("n", F.row_number().over(w).cast("bigint")).where("n <= 4")
+    return s.join(best, ["part", "tier"]).select("location_id", "id", "n", F.floor(F.col("score") * 100).cast("bigint").alias("score_cents"))
 
 
 @query(f"{ctes('fixes')} select game, id, case when accuracy_m <= 12 then 'here' when accuracy_m <= 25 then 'near' else 'away' end as presence, exp(-0.5 * power(accuracy_m / 10, 2)) > 0.1 as on_road from fixes")

@@ -46,10 +46,10 @@ def c07_ring_join(spark, d):
     return J.radius_join(places(spark, d), spots(spark, d), 600, min_m=150).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query(f"{ctes('places', 'way_points')}, {SEGMENTS}, r as (select p.id, s.seg, {SEG('p.lat','p.lon','s.a_lat','s.a_lon','s.b_lat','s.b_lon')} as dist_m from places p join segments s on p.lat between least(a_lat, b_lat) - 0.001 and greatest(a_lat, b_lat) + 0.001 and p.lon between least(a_lon, b_lon) - 0.002 and greatest(a_lon, b_lon) + 0.002 where s.way_id % 16 = 0), k as (select *, row_number() over (partition by id order by round(dist_m, 6), seg) as rank from r where dist_m <= 60) select id, seg, rank, round(dist_m, 4) as dist_m from k where rank <= 5")
+@query(f"{ctes('places', 'way_points')}, {SEGMENTS}, r as (select p.id, s.seg, {SEG('p.lat','p.lon','s.a_lat','s.a_lon','s.b_lat','s.b_lon')} as dist_m from places p join segments s on p.lat between least(a_lat, b_lat) - 0.001 and greatest(a_lat, b_lat) + 0.001 and p.lon between least(a_lon, b_lon) - 0.002 and greatest(a_lon, b_lon) + 0.002), k as (select *, row_number() over (partition by id order by round(dist_m, 6), seg) as rank from r where dist_m <= 60) select id, seg, rank, round(dist_m, 4) as dist_m from k where rank <= 5")
 def c06_nearest_on_segments(spark, d):
     """Up to five segments within 60 m of each place."""
-    found = J.segment_join(places(spark, d), _segments(spark, d).where("way_id % 16 = 0"), 60).withColumn("dist_m", F.round("dist_m", 6))
+    found = J.segment_join(places(spark, d), _segments(spark, d).drop("way_id", "i"), 60).withColumn("dist_m", F.round("dist_m", 6))
     return J.nearest(found, ["id"], 5, "seg").select("id", "seg", F.col("rank").cast("bigint").alias("rank"), F.round("dist_m", 4).alias("dist_m"))
 
 
@@ -197,12 +197,12 @@ def f09_polylines(spark, d):
     return p.select("way_id", F.round(geo.polyline_m(F.col("pts")), 3).alias("length_m"), F.round("c.lat", 8).alias("c_lat"), F.round("c.lon", 8).alias("c_lon"))
 
 
-@query(f"""{ctes('way_points')}, {SEGMENTS}, n as (select *, greatest(cast(ceil({H('a_lat','a_lon','b_lat','b_lon')} / 500.0) as bigint), 1) as n from segments where way_id % 8 = 0),
+@query(f"""{ctes('way_points')}, {SEGMENTS}, n as (select *, greatest(cast(ceil({H('a_lat','a_lon','b_lat','b_lon')} / 500.0) as bigint), 1) as n from segments),
 x as (select way_id, i, k, a_lat + (b_lat - a_lat) * (k / cast(n as double)) as lat from n, lateral (select unnest(range(0, n)) as k) u)
 select way_id, count(*) + 1 as n_points, round(sum(lat), 5) as lat_sum from x group by way_id""")
 def f10_densified(spark, d):
     """Points at most 500 m apart."""
-    p = way_points(spark, d).where("way_id % 8 = 0").groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("pts")).where(F.size("pts") > 1)
+    p = way_points(spark, d).groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("pts")).where(F.size("pts") > 1)
     p = p.withColumn("dense", geo.densify(F.col("pts"), 500.0)).withColumn("last", F.element_at("pts", -1)["lat"])
     return p.select("way_id", F.size("dense").cast("bigint").alias("n_points"), F.round(F.aggregate("dense", F.lit(0.0), lambda a, x: a + x["lat"]) - F.col("last"), 5).alias("lat_sum"))
 

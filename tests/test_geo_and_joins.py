@@ -105,3 +105,18 @@ def test_rough_and_kinds(spark):
     df = spark.createDataFrame([({"highway": "steps"}, True), ({"highway": "path"}, True), ({"highway": "path", "surface": "asphalt"}, False), ({"surface": "paved; mud"}, True), ({}, False)], "tags map<string,string>, want boolean")
     assert all(r.got == r.want for r in df.select("want", text.is_rough(F.col("tags")).alias("got")).collect())
     assert not spark.createDataFrame([({"a": "b"},)], "tags map<string,string>").where(text.matches_kind(F.col("tags"), [])).count()
+
+
+def test_radius_join_at_poles_and_across_180(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0.0, 60.0, 75.0, 89.0, 89.99, -89.9]) + rng.uniform(-0.01, 0.01), rng.choice([179.995, -179.995, 10.0]) + rng.uniform(-0.005, 0.005)) for i in range(150)]
+    df = spark.createDataFrame(rows + [(999, None, None)], "id long, lat double, lon double")
+    for r in (300.0, 30_000.0):
+        got = {(x.id, x.r_id) for x in joins.radius_join(df, df, r).collect()}
+        want = {(a[0], b[0]) for a in rows for b in rows if haversine(a[1:], b[1:]) <= r}
+        assert got == want
+
+
+def haversine(a, b):
+    (x, o), (y, p) = (map(math.radians, q) for q in (a, b))
+    return 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin((p - o) / 2) ** 2)))

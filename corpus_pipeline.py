@@ -28,8 +28,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, a similarity of 0.8 or more) one row stays, that of the smallest id."""
-    return simhash.keep_one_of_similar(docs).select(*COLUMNS)
+    """Of each group of near copies one row stays, that of the smallest id."""
+    return simhash.keep_one_of_each_group(docs, words_per_shingle=5).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def search(
             held = held.sort_values("vec_id", kind="stable")
             every, x = held["vec_id"].to_numpy(), np.stack(held["embedding"].to_numpy())
             # Vectors of like length share one set of arrays: a few long ones would leave the others at one place.
-            octave = np.floor(np.log2(lengths(x)))
+            octave = np.round(np.log2(lengths(x)))  # powers of two lie within one, not between two
             parts = [np.flatnonzero(octave == o) for o in np.unique(octave)]
             blocks = [(every[p], Block(x[p], projections, seed)) for p in parts]
             for i in range(0, len(asked), 64):

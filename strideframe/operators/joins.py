@@ -45,7 +45,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, min_m: float
     reach = F.when(sine >= 1.0, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sine))))
     columns = F.when(reach * 2 >= 360.0 * (1 - 2 / n), F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.transform(F.sequence(_column(r_lon - reach, n).cast("bigint"), _column(r_lon + reach, n).cast("bigint")), lambda c: F.pmod(c, n.cast("bigint"))))
     b = b.withColumn("_sf_j", F.explode(columns))
-    pairs = a.join(b, ["_sf_i", "_sf_j"]).withColumn("dist_m", geo.distance_m(lat, lon, f"r_{lat}", f"r_{lon}"))
+    # From an array of one, so that the distance is computed once a pair and not again in the filter (see segment_join).
+    pairs = a.join(b, ["_sf_i", "_sf_j"]).withColumn("dist_m", F.explode(F.array(geo.distance_m(lat, lon, f"r_{lat}", f"r_{lon}"))))
     return pairs.where((F.col("dist_m") <= radius_m) & (F.col("dist_m") >= min_m)).drop("_sf_i", "_sf_j")
 
 
@@ -59,25 +60,43 @@ def segment_join(points: DataFrame, segments: DataFrame, radius_m: float, cell_m
     """points x segments (seg, a_lat, a_lon, b_lat, b_lon) within radius_m; plus dist_m.
 
     A point has one cell; a segment goes to the cells that it comes within the radius of, row by row. cell_m: about a tenth of
-    the length of a segment keeps both the cells and the pairs few. Cells widen with the latitude. Ends must lie on one side
-    of longitude 180.
+    the length of a segment keeps both the cells and the pairs few. Cells widen with the latitude and wrap at longitude 180.
+
+    What belongs to one side alone (the scale at the point, the segment's extent) is computed before the join, so that a pair
+    costs a few products, once.
     """
     height = _height(max(cell_m, radius_m))
     margin = _height(radius_m)
-    a_lat, b_lat, a_lon, b_lon = map(F.col, ("a_lat", "b_lat", "a_lon", "b_lon"))
     row = lambda c: F.floor(c / height)
-    rows = segments.withColumn("_sf_i", F.explode(F.sequence(row(F.least(a_lat, b_lat) - margin), row(F.greatest(a_lat, b_lat) + margin))))
+    # The second end's longitude goes on from the first one's.
+    ends = segments.withColumn("_sf_b", geo.unwrap_lon("b_lon", "a_lon"))
+    a_lat, b_lat, a_lon, b_lon = map(F.col, ("a_lat", "b_lat", "a_lon", "_sf_b"))
+    rows = ends.withColumn("_sf_i", F.explode(F.sequence(row(F.least(a_lat, b_lat) - margin), row(F.greatest(a_lat, b_lat) + margin))))
     # The part of the segment that is within the radius of a row of cells says which columns can be near.
     share = lambda lat: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (lat - a_lat) / F.nullif(b_lat - a_lat, F.lit(0.0))))
     at = lambda t: a_lon + (b_lon - a_lon) * t
     t1, t2 = (F.when(a_lat == b_lat, whole).otherwise(share(edge)) for whole, edge in ((0.0, F.col("_sf_i") * height - margin), (1.0, (F.col("_sf_i") + 1) * height + margin)))
-    n = _columns(F.col("_sf_i"), height)
     wide = margin / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(a_lat), F.abs(b_lat)) + margin))))
-    columns = F.sequence(_column(F.least(at(t1), at(t2)) - wide, n).cast("bigint"), _column(F.greatest(at(t1), at(t2)) + wide, n).cast("bigint"))
-    cells = rows.withColumn("_sf_j", F.explode(columns))
-    placed = points.withColumn("_sf_i", row(F.col("lat"))).withColumn("_sf_j", _column(F.col("lon"), _columns(F.col("_sf_i"), height)).cast("bigint"))
-    found = placed.join(cells, ["_sf_i", "_sf_j"]).withColumn("dist_m", geo.segment_distance_m("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon"))
-    return found.where(F.col("dist_m") <= radius_m).drop("_sf_i", "_sf_j")
+    spans = rows.withColumn("_sf_n", _columns(F.col("_sf_i"), height).cast("bigint")).withColumn("_sf_from", at(t1)).withColumn("_sf_to", at(t2)).withColumn("_sf_wide", wide)
+    spans = spans.withColumn("_sf_lo", _column(F.least("_sf_from", "_sf_to") - F.col("_sf_wide"), F.col("_sf_n")).cast("bigint"))
+    spans = spans.withColumn("_sf_hi", _column(F.greatest("_sf_from", "_sf_to") + F.col("_sf_wide"), F.col("_sf_n")).cast("bigint")).drop("_sf_from", "_sf_to", "_sf_wide")
+    whole_row = F.col("_sf_hi") - F.col("_sf_lo") >= F.col("_sf_n") - 1
+    cells = spans.withColumn("_sf_j", F.explode(F.sequence(F.when(whole_row, 0).otherwise(F.col("_sf_lo")), F.when(whole_row, F.col("_sf_n") - 1).otherwise(F.col("_sf_hi")))))
+    cells = cells.withColumn("_sf_j", F.pmod("_sf_j", "_sf_n")).drop("_sf_n", "_sf_lo", "_sf_hi", "_sf_b")
+    cells = cells.withColumn("_sf_dx", geo.unwrap_lon("b_lon", "a_lon") - F.col("a_lon")).withColumn("_sf_dy", F.col("b_lat") - F.col("a_lat"))
+    placed = points.withColumn("_sf_i", row(F.col("lat"))).withColumn("_sf_j", F.pmod(_column(F.col("lon"), _columns(F.col("_sf_i"), height)), _columns(F.col("_sf_i"), height)).cast("bigint"))
+    placed = placed.withColumn("_sf_k", geo.M_PER_DEG * F.cos(F.radians("lat")))
+    pairs = placed.join(cells, ["_sf_i", "_sf_j"])
+    # Each step is a projection of its own, read once by the next.
+    lon = F.col("a_lon") - F.col("lon")
+    lon = F.when(F.abs(lon) <= 180.0, lon).otherwise(geo.unwrap_lon("a_lon", "lon") - F.col("lon"))
+    steps = pairs.select(*pairs.columns, (lon * F.col("_sf_k")).alias("_sf_x"), ((F.col("a_lat") - F.col("lat")) * geo.M_PER_DEG).alias("_sf_y"), (F.col("_sf_dx") * F.col("_sf_k")).alias("_sf_u"), (F.col("_sf_dy") * geo.M_PER_DEG).alias("_sf_v"))
+    x, y, u, v = (F.col(f"_sf_{c}") for c in "xyuv")
+    steps = steps.withColumn("_sf_t", F.when(u * u + v * v == 0.0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x * u + y * v) / F.nullif(u * u + v * v, F.lit(0.0))))))
+    steps = steps.withColumn("_sf_ex", x + F.col("_sf_t") * u).withColumn("_sf_ey", y + F.col("_sf_t") * v)
+    # From an array of one, so that the filter stays behind: moved into the join it would spell out the whole formula, too long to be compiled.
+    steps = steps.withColumn("dist_m", F.explode(F.array(F.sqrt(F.col("_sf_ex") * F.col("_sf_ex") + F.col("_sf_ey") * F.col("_sf_ey")))))
+    return steps.where(F.col("dist_m") <= radius_m).select(*points.columns, *segments.columns, "dist_m")
 
 
 def polygon_join(points: DataFrame, areas: DataFrame, ring: str = "ring") -> DataFrame:

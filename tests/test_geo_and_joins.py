@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from strideframe.functions import geo, text
@@ -49,6 +51,18 @@ def test_segment_join_equals_brute_force(spark):
         assert sorted(found) == sorted(every.select("id", "seg").collect()) and len(found) > 100
 
 
+@pytest.mark.parametrize("lat, lon", [(0.0, 179.995), (71.0, -179.998), (-84.5, 179.99)])
+def test_segments_across_longitude_180(spark, lat, lon):
+    rng = random.Random(5)
+    wrap = lambda x: (x + 180.0) % 360.0 - 180.0
+    at = lambda: (lat + rng.random() / 100, wrap(lon + rng.random() / 50))
+    pts, segs = [(i, *at()) for i in range(150)], [(i, *at(), *at()) for i in range(30)]
+    df, sf = spark.createDataFrame(pts, "id int, lat double, lon double"), spark.createDataFrame(segs, "seg int, a_lat double, a_lon double, b_lat double, b_lon double")
+    every = df.crossJoin(sf).where(geo.segment_distance_m("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon") <= 60.0)
+    found = joins.segment_join(df, sf, 60.0).select("id", "seg").collect()
+    assert sorted(found) == sorted(every.select("id", "seg").collect()) and len(found) > 20
+
+
 def test_asof_before_the_first_row(spark):
     left, right = spark.createDataFrame([("a", 1), ("a", 5), ("b", 1)], "k string, t int"), spark.createDataFrame([("a", 3, 7), ("a", 5, 8)], "k string, t int, v int")
     plain = {(r.k, r.t): r.r_v for r in joins.asof_join(left, right, ["k"], "t", ["v"]).collect()}

@@ -213,3 +213,24 @@ def tier_for(minutes, per_tier) -> Column:
 
 def dist_for(minutes, mode) -> Column:
     return _c(minutes) * by_mode(mode, M_PER_MIN) / DETOUR
+
+
+def beside(on_lat, on_lon, est_lat, est_lon, walks: Column, road: Column, side_max_m: float = 12.0) -> Column:
+    """struct<lat, lon>: on a road a walker is shown at the estimate, at most side_max_m from the point on the road; else on it."""
+    on_lat, on_lon, est_lat, est_lon = map(_c, (on_lat, on_lon, est_lat, est_lon))
+    on, est = F.struct(on_lat.alias("lat"), on_lon.alias("lon")), F.struct(est_lat.alias("lat"), est_lon.alias("lon"))
+    edge = destination(on_lat, on_lon, bearing_deg(on_lat, on_lon, est_lat, est_lon), side_max_m)
+    return F.when(~(walks & road), on).when(distance_m(on_lat, on_lon, est_lat, est_lon) <= side_max_m, est).otherwise(edge)
+
+
+def point_inside(ring: Column) -> Column:
+    """struct<lat, lon> inside the ring: its centroid, else the first midpoint of two or three vertices that is inside, else the
+    first vertex."""
+    n = F.size(ring)
+    vertex = lambda i: F.get(ring, F.pmod(i, n))
+    of_pairs = lambda step: F.transform(F.sequence(F.lit(0), n - 1), lambda i: centroid(F.array(vertex(i), vertex(i + F.greatest(step, F.lit(1))))))
+    of_threes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: centroid(F.array(vertex(i), vertex(i + 1), vertex(i + 2))))
+    tried = F.concat(*(of_pairs(F.floor(n / k).cast("int")) for k in (2, 3, 4)), of_pairs(F.lit(1)), of_threes)
+    inside = F.filter(tried, lambda p: point_in_polygon(p["lat"], p["lon"], ring))
+    c = centroid(ring)
+    return F.when((n < 3) | point_in_polygon(c["lat"], c["lon"], ring), c).otherwise(F.coalesce(F.get(inside, F.lit(0)), F.get(ring, F.lit(0))))

@@ -56,6 +56,18 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(*cells).write.option("header", True).csv(path)
 
 
+def write_documents(documents: DataFrame, path: str, kind: str) -> None:
+    """One JSON line for each row, a folder for each value of `kind`. Kinds that are written replace what was there of them, others
+    stay; Spark's commit makes the files visible together."""
+    body = F.to_json(F.struct(*(c for c in documents.columns if c != kind)))
+    documents.select(kind, body.alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(kind).text(path)
+
+
+def append_log(rows: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
+    """JSON lines added to a log, in files of at most most_rows lines."""
+    rows.write.mode("append").option("maxRecordsPerFile", most_rows).json(path)
+
+
 def request_key(text: Column) -> Column:
     return fnv1a64(text)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import documents, geo
 from strideframe.operators import measures as M
+from strideframe.sources import files
 from strideframe.streaming.fold import fold
 from strideframe.streaming.machines import NearMissLog, SavePolicy, StepHistory, Throttle
 
@@ -113,6 +114,22 @@ def test_machines_by_key(spark):
     assert sorted((r.g, r.id) for r in fold(rows, "g", ["t_ms"], Throttle(1_000)).collect()) == [("a", 0), ("a", 3), ("b", 0), ("b", 3)]
 
 
+def test_documents_replace_their_own_kind(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    write = lambda rows: files.write_documents(spark.createDataFrame(rows, "kind string, id string, n int"), path, "kind")
+    write([("realm", "a", 1), ("realm", "b", 2), ("mark", "c", 3)])
+    write([("realm", "a", 9)])
+    got = spark.read.json(path).collect()
+    assert sorted((r.kind, r.id, r.n) for r in got) == [("mark", "c", 3), ("realm", "a", 9)]
+
+
+def test_logs_grow_in_files_of_bounded_length(spark, tmp_path):
+    path = tmp_path / "log"
+    for _ in range(2):
+        files.append_log(spark.range(7).coalesce(1), str(path), 3)
+    assert sorted(len(f.read_text().splitlines()) for f in path.glob("part-*")) == [1, 1, 3, 3, 3, 3]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.mark.parametrize("name", ["d15_stationary_jitter", "d21_matching_stats", "n03_loose_ends", "i26_sources", "i28_goal_once", "k12_slot_errors"])
 def test_queries_have_rows(spark, name):

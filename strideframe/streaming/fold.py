@@ -47,15 +47,33 @@ def fold(rows: DataFrame, key: str, order: list[str], machine: Machine) -> DataF
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def fold_stream(rows: DataFrame, key: str, order: list[str], machine: Machine) -> DataFrame:
-    """The same over a streaming DataFrame, in append mode."""
+def fold_stream(rows: DataFrame, key: str, order: list[str], machine: Machine, event_time: str | None = None, late: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
+    """The same over a streaming DataFrame, in append mode.
+
+    With event_time, a timestamp column, a key's state goes once the watermark (`late` behind the newest row) is idle_ms past
+    its last row, so that the store doesn't grow with keys of the past; Spark leaves out rows
+    older than the watermark. Without it states stay for good.
+    """
     schema, columns = _schema(rows, key, machine)
 
     def run(keys: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else machine.start()
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        known = json.loads(state.get[0]) if state.exists else {"state": machine.start(), "newest": 0}
         pdf = pd.concat(list(pdfs)).sort_values(order, kind="stable")
-        out = [(keys[0], *x) for row in pdf.to_dict("records") for x in machine.step(now, row)]
-        state.update((json.dumps(now),))
+        newest = known["newest"]
+        if event_time:
+            times = pdf.pop(event_time)
+            newest = known["newest"] = max(newest, int(times.max().timestamp() * 1000))
+        out = [(keys[0], *x) for row in pdf.to_dict("records") for x in machine.step(known["state"], row)]
+        state.update((json.dumps(known),))
+        if event_time:
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    if event_time:
+        rows = rows.withWatermark(event_time, late)
+    timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", timeout)

@@ -3,7 +3,7 @@ import random
 
 from strideframe.streaming.fold import fold, fold_stream
 from strideframe.streaming.imm import ImmFilter
-from strideframe.streaming.machines import Debounce, HomeWatch, JournalThrottle, PlainFilter, QuestTracker, StreetMatcher, TrapTimer, metres
+from strideframe.streaming.machines import Debounce, HomeWatch, JournalThrottle, PlainFilter, QuestTracker, StreetMatcher, Throttle, TrapTimer, metres
 
 FIX = "game int, id long, t_ms long, lat double, lon double, accuracy_m double, mock boolean"
 
@@ -44,6 +44,21 @@ def test_stream_equals_batch_equals_replay(spark, tmp_path):
         assert sorted(tuple(r) for r in spark.table(name).collect()) == want
 
 
+def test_states_of_idle_keys_go(spark, tmp_path):
+    # Key 1 is idle for ten days while key 0 goes on; its second row starts anew, so it passes the throttle again.
+    day = 86_400_000
+    path = tmp_path / "in"
+    for k, rows in enumerate([[(0, 0, 0), (1, 1, 0)], [(0, 2, 5 * day)], [(0, 3, 10 * day)], [(0, 4, 10 * day + 1), (1, 5, 10 * day + 1)]]):
+        df = spark.createDataFrame(rows, "game int, id long, t_ms long").selectExpr("*", "timestamp_millis(t_ms + 1700000000000) as at")
+        df.coalesce(1).write.mode("append").parquet(str(path))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+    for name, how in (("kept_states", {}), ("dropped_states", {"event_time": "at", "idle_ms": day})):
+        q = fold_stream(stream, "game", ["t_ms"], Throttle(100 * day), **how).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = sorted(r.id for r in spark.table(name).collect())
+        assert got == ([0, 1] if name == "kept_states" else [0, 1, 5])
+
+
 def test_the_filter_beats_raw_fixes_and_gates_jumps():
     rows = [dict(zip("game id t_ms lat lon accuracy_m mock".split(), r)) for r in walk(300, games=1)]
     out = run(ImmFilter(), rows)

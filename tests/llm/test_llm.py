@@ -530,3 +530,31 @@ def test_pipeline_stages_in_turn(spark, tmp_path):
     assert all("@example" not in r.text and r.n_chars == len(r.text) for r in private) and len(private) == len(near)
     assert {r.doc_id for r in packed} == {r.doc_id for r in near} and sum(r.piece == 0 for r in packed) == len(near)
     assert sorted(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32").collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
+
+
+def test_search_of_repeated_query_ids(spark):
+    df = spark.createDataFrame([(20, [1.0, 2.0]), (20, [2.0, 1.0]), (20, [1.0, 2.0]), (21, [1.0, 1.0]), (22, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, k=2).collect():
+        got.setdefault(r.query_hash, []).append((r.rank, r.query_id, r.vec_id, r.score))
+    assert sorted(sorted(x) for x in got.values()) == [[(1, 20, 22, 5.0), (2, 20, 21, 3.0)], [(1, 20, 22, 7.0), (2, 20, 21, 3.0)]]
+
+
+def test_op8_recall(spark):
+    from strideframe.llm.queries import op8_collision_search
+
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in op8_collision_search(spark, sf).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    asked, hits = [i for i in range(len(ids)) if ids[i] % 20 == 0], 0
+    assert set(got) == {int(ids[i]) for i in asked}
+    for i in asked:
+        scores = x @ x[i]
+        best = [j for j in np.lexsort((ids, -scores)) if ids[j] != ids[i]][:20]
+        own = sorted(got[int(ids[i])])
+        assert [r for r, _, _ in own] == list(range(1, 21)) and all(a[2] >= b[2] for a, b in zip(own, own[1:]))
+        hits += len({int(ids[j]) for j in best} & {v for _, v, _ in own})
+    assert hits >= 0.9 * 20 * len(asked)

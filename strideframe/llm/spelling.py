@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import UPPER, LOWER, materialize
+from strideframe.llm.common import ascii_lower, materialize
 
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
 #: Bits of the filter for each word, and at most (64 MB).
@@ -35,7 +35,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 def runs(docs: DataFrame, text: str = "text", pattern: str = RUN) -> DataFrame:
     """docs plus run, a row for each run of letters in a text, A-Z lower-cased."""
-    return docs.withColumn("run", F.explode(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(pattern), F.lit(0))))
+    return docs.withColumn("run", F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).withColumn("run", ascii_lower(F.col("run")))
 
 
 def without_letter(word: str | Column, at: Column) -> Column:

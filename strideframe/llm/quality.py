@@ -20,67 +20,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strideframe.llm.common import BLANKS, LOWER, UPPER, ascii_lower, materialize, text_or_empty
+from strideframe.llm.common import BLANKS, materialize, text_or_empty
 
-SYMBOLS, DIGITS, MARKS = "#*$%&|<>", "0123456789", ".,;:!?'\"()-"
+SYMBOLS = "[#*$%&|<>]+"
 #: Character classes: a-z, blanks, A-Z, digits, marks, other ASCII, beyond ASCII.
 N_CLASSES = 7
 #: A document's vote is dealt to its characters and words in whole parts, so that sums don't depend on their order.
 VOTE = 10_000_000
 WINDOW = 5
+#: Places in a text of fewer words fit beside a hash in one number; a longer text has all its windows compared.
+PLACE_BITS = 24
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
+def features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs plus _sf_w (the words), _sf_n (code points), _sf_chars (code points of each class) and _sf_symbols.
+
+    Regular expressions take long runs out of the whole text once; the rarer classes are counted in the little that is left.
+    """
     t = text_or_empty(text)
-    without = lambda c, chars: F.translate(c, chars, "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    out = docs.withColumn("_sf_w", F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).withColumn("_sf_lines", lines)
-    n = F.size("_sf_w") - (WINDOW - 1)
-    each = F.sequence(F.lit(0), n - 1)
-    out = out.withColumn("_sf_h", F.when(n > 1, F.transform(each, lambda i: F.xxhash64(*(F.get("_sf_w", i + k) for k in range(WINDOW))))))
-    # Hashes tell cheaply that no window repeats; where one may, the windows themselves are sorted and compared.
-    windows = F.array_sort(F.transform(each, lambda i: F.struct(F.array_join(F.slice("_sf_w", i + 1, WINDOW), " ").alias("w"), i.alias("i"))))
-    out = out.withColumn("_sf_s", F.when(F.size(F.array_distinct("_sf_h")) < F.size("_sf_h"), windows))
+    left = F.length
+    out = docs.withColumn("_sf_w", F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).withColumn("_sf_n", F.length(t))
+    out = out.withColumn("_sf_solid", F.length(F.array_join("_sf_w", ""))).withColumn("_sf_r0", F.regexp_replace(t, "[a-z\\x20\\x09-\\x0D]+", ""))
+    for k, chars in enumerate(("[A-Z]+", "[0-9]+", "[.,;:!?'\"()-]+", "[\\x00-\\x7F]+"), 1):
+        out = out.withColumn(f"_sf_r{k}", F.regexp_replace(f"_sf_r{k - 1}", chars, ""))
+    counts = [F.col("_sf_solid") - left("_sf_r0"), F.col("_sf_n") - F.col("_sf_solid"), *(left(f"_sf_r{k - 1}") - left(f"_sf_r{k}") for k in range(1, 5)), left("_sf_r4")]
+    out = out.withColumn("_sf_symbols", left("_sf_r2") - left(F.regexp_replace("_sf_r2", SYMBOLS, "")))
+    return out.withColumn("_sf_chars", F.array(*(c.cast("long") for c in counts))).drop(*(f"_sf_r{k}" for k in range(5)))
+
+
+def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """features() plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
+    lines = F.filter(F.split(text_or_empty(text), "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
+    out = features(docs, text).withColumn("_sf_lines", lines).withColumn("_sf_h1", F.transform("_sf_w", lambda w: F.xxhash64(w)))
+    # Hashes of two, four and five words in a row: where no five are alike no window repeats, and this is told cheaply.
+    joint = lambda a, b, shift: F.zip_with(a, b, lambda x, y: F.shiftleft(x, shift).bitwiseXOR(y))
+    size = F.size("_sf_w")
+    from_ = lambda c, k: F.slice(c, k + 1, F.greatest(size - WINDOW + 1, F.lit(0)))
+    out = out.withColumn("_sf_h2", joint(F.col("_sf_h1"), F.slice("_sf_h1", 2, size), 1)).withColumn("_sf_h4", joint(from_("_sf_h2", 0), from_("_sf_h2", 2), 2))
+    out = out.withColumn("_sf_h", joint(F.col("_sf_h4"), from_("_sf_h1", 4), 1))
+    # Where some may be, the places of alike hashes are found (sorted as hash and place in one number), and their windows compared.
+    place = F.lit((1 << PLACE_BITS) - 1)
+    packed = F.when(size < 1 << PLACE_BITS, F.sort_array(F.transform("_sf_h", lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long")))))
+    out = out.withColumn("_sf_k", F.when(F.size(F.array_distinct("_sf_h")) < F.size("_sf_h"), F.coalesce(packed, F.array().cast("array<bigint>"))))
+    alike = lambda x, j: F.coalesce(F.shiftright(x, PLACE_BITS) == F.shiftright(F.get("_sf_k", j), PLACE_BITS), F.lit(False))
+    some = F.transform(F.filter("_sf_k", lambda x, j: alike(x, j - 1) | alike(x, j + 1)), lambda x: x.bitwiseAND(place).cast("int"))
+    each = F.when(size < 1 << PLACE_BITS, some).otherwise(F.sequence(F.lit(0), size - WINDOW))
+    windows = F.sort_array(F.transform(each, lambda i: F.struct(F.array_join(F.slice("_sf_w", i + 1, WINDOW), " ").alias("w"), i.alias("i"))))
+    out = out.withColumn("_sf_s", F.when(F.col("_sf_k").isNotNull(), windows))
     like = lambda x, j: F.coalesce(x["w"] == F.get("_sf_s", j)["w"], F.lit(False))
-    out = out.withColumn("_sf_p", F.array_sort(F.transform(F.filter("_sf_s", lambda x, j: like(x, j - 1) | like(x, j + 1)), lambda x: x["i"])))
+    out = out.withColumn("_sf_p", F.sort_array(F.transform(F.filter("_sf_s", lambda x, j: like(x, j - 1) | like(x, j + 1)), lambda x: x["i"])))
     covered = F.transform("_sf_p", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get("_sf_p", j + 1) - p, F.lit(WINDOW))))
     return out.withColumns(
         {
-            "n_words": F.size("_sf_w").cast("long"),
-            "word_chars": F.length(without(t, BLANKS)).cast("long"),
-            "n_symbols": (F.length(t) - F.length(without(t, SYMBOLS))).cast("long"),
+            "n_words": size.cast("long"),
+            "word_chars": F.col("_sf_solid").cast("long"),
+            "n_symbols": F.col("_sf_symbols").cast("long"),
             "n_dup_lines": (F.size("_sf_lines") - F.size(F.array_distinct("_sf_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"),
         }
-    ).drop("_sf_w", "_sf_lines", "_sf_h", "_sf_s", "_sf_p")
-
-
-def histograms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus _sf_chars (the code points of each class) and _sf_tokens (words of letters, A-Z lower-cased)."""
-    t = text_or_empty(text)
-    out = docs.withColumn("_sf_r0", t)
-    for k, chars in enumerate((LOWER, BLANKS, UPPER, DIGITS, MARKS), 1):
-        out = out.withColumn(f"_sf_r{k}", F.translate(f"_sf_r{k - 1}", chars, ""))  # what each class leaves is short after a-z
-    out = out.withColumn("_sf_r6", F.regexp_replace("_sf_r5", "[\\x00-\\x7F]+", ""))
-    counts = [F.length(f"_sf_r{k - 1}") - F.length(f"_sf_r{k}") for k in range(1, 7)] + [F.length("_sf_r6")]
-    out = out.withColumn("_sf_chars", F.array(*(c.cast("long") for c in counts)))
-    tokens = F.filter(F.split(ascii_lower(t), "[\\x00-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
-    return out.withColumn("_sf_tokens", tokens).drop(*(f"_sf_r{k}" for k in range(7)))
+    ).drop("_sf_lines", "_sf_h1", "_sf_h2", "_sf_h4", "_sf_h", "_sf_k", "_sf_s", "_sf_p")
 
 
-def references(docs: DataFrame, n_common: int = 32, min_chars: int = 200, min_words: int = 40, min_docs: int = 20, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, chars, common, shares): each language's mean shares of character classes, its commonest words and their mean shares.
+def references(docs: DataFrame, n_common: int = 32, longest: int = 6, min_chars: int = 200, min_words: int = 40, min_docs: int = 20, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, chars, common, shares): each language's mean shares of character classes, its commonest words of at most `longest`
+    code points, and their mean shares of all words.
 
     A document of over VOTE words is too long for a whole part of its vote a word, and teaches only character classes.
     """
-    rows = histograms(docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull()))
-    rows = rows.withColumn("_sf_n", F.aggregate("_sf_chars", F.lit(0).cast("long"), lambda a, b: a + b)).where((F.col("_sf_n") >= min_chars) & (F.size("_sf_tokens") >= min_words))
-    part = lambda k: F.sum(F.floor(F.get("_sf_chars", F.lit(k)) * VOTE / F.col("_sf_n"))).cast("double")
-    by_class = rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.array(*map(part, range(N_CLASSES))).alias("_sf_sums")).where(F.col("n_docs") >= min_docs)
+    rows = features(docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull()))
+    # No filter on what is computed: it would be computed twice.
+    taught = (F.col("_sf_n") >= min_chars) & (F.size("_sf_w") >= min_words)
+    part = lambda k: F.sum(F.when(taught, F.floor(F.get("_sf_chars", F.lit(k)) * VOTE / F.col("_sf_n")))).cast("double")
+    by_class = rows.groupBy("lang").agg(F.count_if(taught).alias("n_docs"), F.array(*map(part, range(N_CLASSES))).alias("_sf_sums")).where(F.col("n_docs") >= min_docs)
     total = F.aggregate("_sf_sums", F.lit(0.0), lambda a, b: a + b)
     by_class = by_class.select("lang", "n_docs", F.transform("_sf_sums", lambda s: s / total).alias("chars"))
-    votes = rows.select("lang", F.floor(F.lit(VOTE) / F.size("_sf_tokens")).alias("v"), F.explode("_sf_tokens").alias("w")).groupBy("lang", "w").agg(F.sum("v").alias("votes"))
+    short = F.filter("_sf_w", lambda w: F.length(w) <= longest)
+    votes = rows.select("lang", F.floor(F.lit(VOTE) / F.size("_sf_w")).alias("v"), F.explode(F.when(taught, short)).alias("w")).groupBy("lang", "w").agg(F.sum("v").alias("votes"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("votes"), "w"))
     common = votes.withColumn("place", place).where(F.col("place") <= n_common)
     common = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "w", "votes"))).alias("c"))
@@ -99,25 +114,31 @@ def _rest(shares: Column) -> Column:
 
 
 def judge(
-    docs: DataFrame, n_common: int = 32, min_chars: int = 200, min_words: int = 40, min_docs: int = 20, most_chars: float = 0.3, most_words: float = 0.3, text: str = "text", lang: str = "lang"
+    docs: DataFrame, n_common: int = 32, longest: int = 6, min_chars: int = 200, min_words: int = 40, min_docs: int = 20, most_chars: float = 0.3, most_words: float = 0.3, text: str = "text", lang: str = "lang"
 ) -> DataFrame:
     """docs plus the base counts, base_failed, char_distance, word_distance (null: not compared) and kept.
 
     most_chars, most_words: the largest distances of a document that stays, beside the allowance of its length.
     """
+    if n_common > 78:
+        raise ValueError("n_common is at most 78, the printable characters that stand for common words")
     docs = docs.drop(*(c for c in docs.columns if c.lower().startswith("_sf_")))
-    known = materialize(references(docs, n_common, min_chars, min_words, min_docs, text, lang), "quality-references")
+    known = materialize(references(docs, n_common, longest, min_chars, min_words, min_docs, text, lang), "quality-references")
     known = known.select(F.col("lang").alias("_sf_lang"), F.col("chars").alias("_sf_ref"), F.col("common").alias("_sf_common"), F.col("shares").alias("_sf_shares"))
-    rows = histograms(base_counts(docs, text), text).join(known, F.col(lang) == F.col("_sf_lang"), "left")
-    rows = rows.withColumn("_sf_n", F.aggregate("_sf_chars", F.lit(0).cast("long"), lambda a, b: a + b)).withColumn("_sf_k", F.size("_sf_tokens"))
-    rows = rows.withColumn("_sf_at", F.filter(F.transform("_sf_tokens", lambda w: F.array_position("_sf_common", w)), lambda p: p > 0))
-    seen = F.transform(F.sequence(F.lit(1), F.size("_sf_common")), lambda k: F.size(F.filter("_sf_at", lambda p: p == k)) / F.col("_sf_k"))
-    compared = (F.col("_sf_n") >= min_chars) & (F.col("_sf_k") >= min_words)
+    rows = base_counts(docs, text).join(known, F.col(lang) == F.col("_sf_lang"), "left")
+    k = F.col("n_words")
+    # A character for each common word in the text, so that each one's count is a difference of lengths.
+    mark = lambda place: F.char(place + F.lit(47))
+    found = F.transform(F.filter("_sf_w", lambda w: (F.length(w) <= longest) & F.array_contains("_sf_common", w)), lambda w: mark(F.array_position("_sf_common", w)))
+    rows = rows.withColumn("_sf_at", F.array_join(found, ""))
+    seen = F.transform("_sf_common", lambda c, i: (F.length("_sf_at") - F.length(F.replace(F.col("_sf_at"), mark(i + 1), F.lit("")))) / k)
+    rows = rows.withColumn("_sf_seen", seen)
+    compared = (F.col("_sf_n") >= min_chars) & (k >= min_words)
     rows = rows.withColumn("_sf_cd", F.when(compared, divergence(F.transform("_sf_chars", lambda c: c / F.col("_sf_n")), F.col("_sf_ref"))))
-    rows = rows.withColumn("_sf_wd", F.when(compared, divergence(_rest(seen), _rest(F.col("_sf_shares")))))
+    rows = rows.withColumn("_sf_wd", F.when(compared, divergence(_rest(F.col("_sf_seen")), _rest(F.col("_sf_shares")))))
     strays = lambda classes, n: (classes - 1) / (8 * math.log(2) * n)  # noqa: E731  the mean divergence of n draws from the reference
-    odd = (F.col("_sf_cd") > most_chars**2 + strays(N_CLASSES, F.col("_sf_n"))) | (F.col("_sf_wd") > most_words**2 + strays(F.size("_sf_common") + 1, F.col("_sf_k")))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    odd = (F.col("_sf_cd") > most_chars**2 + strays(N_CLASSES, F.col("_sf_n"))) | (F.col("_sf_wd") > most_words**2 + strays(F.size("_sf_common") + 1, k))
+    failed = (k < 10) | (100 * F.col("n_repeat_words") > 20 * k)
     distance = lambda c: F.when(F.col(c).isNotNull(), F.round(F.sqrt(F.greatest(F.col(c), F.lit(0.0))), 4))
     rows = rows.withColumns({"base_failed": failed, "char_distance": distance("_sf_cd"), "word_distance": distance("_sf_wd"), "kept": ~(failed | F.coalesce(odd, F.lit(False)))})
     return rows.drop(*(c for c in rows.columns if c.startswith("_sf_")))

@@ -124,15 +124,14 @@ base as (
     length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words
   from docs d join words using (r) join lines using (r) left join covered c using (r)),
 cls as (
-  select r, doc_id, lang, length(t) as n,
-    [length(t) - length(regexp_replace(t, p, '', 'g')) for p in ['[a-z]+', '{_BLANK}+', '[A-Z]+', '[0-9]+', '[.,;:!?''"()-]+', '[\x00-\x08\x0E-\x1F#$%&*+/<=>@\[\\\]^_`{{|}}~\x7F]+', '[^\x00-\x7F]+']] as c,
-    list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x60\x7B-\x7F]+'), lambda w: w <> '') as tok
-  from docs),
+  select docs.r, doc_id, lang, length(t) as n,
+    [length(t) - length(regexp_replace(t, p, '', 'g')) for p in ['[a-z]+', '{_BLANK}+', '[A-Z]+', '[0-9]+', '[.,;:!?''"()-]+', '[\x00-\x08\x0E-\x1F#$%&*+/<=>@\[\\\]^_`{{|}}~\x7F]+', '[^\x00-\x7F]+']] as c, w as tok
+  from docs join words using (r)),
 long as (select cls.* from cls, params where lang is not null and n >= min_chars and len(tok) >= min_words),
 sums as (select lang, k, sum(s) as s from (select lang, unnest(range(1, 8)) as k, unnest([cast(floor(x * 10000000.0 / n) as bigint) for x in c]) as s from long) group by lang, k),
 ref as (select lang, list(s / total order by k) as chars from (select lang, k, cast(s as double) as s, sum(cast(s as double)) over (partition by lang) as total from sums) group by lang),
 counts as (select lang, count(*) as n_docs from long group by lang),
-votes as (select lang, w, sum(v) as v from (select lang, cast(floor(10000000.0 / len(tok)) as bigint) as v, unnest(tok) as w from long) group by lang, w),
+votes as (select lang, w, sum(v) as v from (select lang, cast(floor(10000000.0 / len(tok)) as bigint) as v, unnest(tok) as w from long) where length(w) <= 6 group by lang, w),
 top as (select lang, w, v, row_number() over (partition by lang order by v desc, w) as k from votes qualify k <= (select n_common from params)),
 known as (
   select lang, any_value(chars) as chars, list(w order by k) as common, list(v / (10000000.0 * n_docs) order by k) as shares

@@ -234,3 +234,25 @@ def point_inside(ring: Column) -> Column:
     inside = F.filter(tried, lambda p: point_in_polygon(p["lat"], p["lon"], ring))
     c = centroid(ring)
     return F.when((n < 3) | point_in_polygon(c["lat"], c["lon"], ring), c).otherwise(F.coalesce(F.get(inside, F.lit(0)), F.get(ring, F.lit(0))))
+
+
+def clip_at_lon(ring: Column, lon: float, east: bool) -> Column:
+    """The part of a ring (array of lat, lon; not closed) on one side of a meridian, planar: kept corners, and where edges cross it."""
+    kept = lambda p: p["lon"] >= lon if east else p["lon"] <= lon
+
+    def edge(a: Column, i: Column) -> Column:
+        b = F.get(ring, (i + 1) % F.size(ring))
+        share = (F.lit(lon) - a["lon"]) / (b["lon"] - a["lon"])
+        crossing = F.struct((a["lat"] + share * (b["lat"] - a["lat"])).alias("lat"), F.lit(lon).cast("double").alias("lon"))
+        return F.array(F.when(kept(a), F.struct(a["lat"].alias("lat"), a["lon"].alias("lon"))), F.when(kept(a) != kept(b), crossing))
+
+    return F.filter(F.flatten(F.transform(ring, edge)), lambda p: p.isNotNull())
+
+
+def bounding_boxes(ring: Column, around: float) -> Column:
+    """array<struct<south, west, north, east>> of a ring around a longitude: one box, or two where it goes over longitude 180."""
+    turned = F.transform(ring, lambda p: F.struct(p["lat"].alias("lat"), unwrap_lon(p["lon"], F.lit(around)).alias("lon")))
+    box = lambda r, shift: F.struct(F.array_min(r["lat"]).alias("south"), (F.array_min(r["lon"]) + shift).alias("west"), F.array_max(r["lat"]).alias("north"), (F.array_max(r["lon"]) + shift).alias("east"))
+    low, high = F.array_min(turned["lon"]), F.array_max(turned["lon"])
+    over = lambda at: F.array(box(clip_at_lon(turned, at, False), 0.0 if at > 0 else 360.0), box(clip_at_lon(turned, at, True), -360.0 if at > 0 else 0.0))
+    return F.when((low < 180.0) & (high > 180.0), over(180.0)).when((low < -180.0) & (high > -180.0), over(-180.0)).otherwise(F.array(box(turned, 0.0)))

@@ -256,3 +256,11 @@ def bounding_boxes(ring: Column, around: float) -> Column:
     low, high = F.array_min(turned["lon"]), F.array_max(turned["lon"])
     over = lambda at: F.array(box(clip_at_lon(turned, at, False), 0.0 if at > 0 else 360.0), box(clip_at_lon(turned, at, True), -360.0 if at > 0 else 0.0))
     return F.when((low < 180.0) & (high > 180.0), over(180.0)).when((low < -180.0) & (high > -180.0), over(-180.0)).otherwise(F.array(box(turned, 0.0)))
+
+
+def hex_lattice(south, west, north, east, d_lat: float, d_lon: float) -> Column:
+    """array<struct<i, j, lat, lon>> over a box from its south-west corner on; odd rows start half a cell further."""
+    rows = F.sequence(F.lit(0), F.floor((_c(north) - _c(south)) / d_lat).cast("int"))
+    columns = F.sequence(F.lit(0), F.floor((_c(east) - _c(west)) / d_lon).cast("int"))
+    at = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (_c(south) + i * d_lat).alias("lat"), (_c(west) + (j + F.when(i % 2 == 1, 0.5).otherwise(0.0)) * d_lon).alias("lon"))
+    return F.flatten(F.transform(rows, lambda i: F.transform(columns, lambda j: at(i, j))))

@@ -30,4 +30,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # Each module registers its queries; the order here is the order of the registry.
-from strideframe.plans import details, gaps, journal, mapdata, measures, network, quests, reach, spatial, tracks  # noqa: E402, F401
+from strideframe.plans import details, gaps, journal, mapdata, measures, network, quests, reach, requests, spatial, tracks  # noqa: E402, F401

@@ -195,20 +195,6 @@ def a03_raw_ways(spark, d):
     return p.select("way_id", F.size(osm.thinned(F.col("pts"))).cast("bigint").alias("n")).where("n >= 2")
 
 
-@query("select 30 as tiles, 90 as requests, (select count(*) from range(90) r(i) where i % 4 = 0 and i % 8 = 0) as cached, 90 - (select count(*) from range(90) r(i) where i % 4 = 0 and i % 8 = 0) as missing")
-def a13_scan_plan(spark, d):
-    """What a scan costs: requests that are cached and fresh needn't be sent."""
-    jobs = spark.range(90).select((F.col("id") % 30).alias("tile"), F.concat(F.lit("request "), F.col("id")).alias("request"), "id")
-    cache = jobs.where("id % 4 = 0").select(files.request_key(F.col("request")).alias("key"), F.when(F.col("id") % 8 == 0, 1_000_000_000).otherwise(0).alias("stored_s"))
-    return files.scan_plan(jobs.select("tile", "request"), cache, 1_000_086_400)
-
-
-@query("select i, row_number() over (order by greatest(-12, least(6, h)) desc, (i - 2 + 5) % 5) as place from (values (0, 3), (1, 9), (2, 6), (3, -40), (4, 3)) s(i, h)")
-def a09_server_order(spark, d):
-    s = spark.createDataFrame([(0, 3), (1, 9), (2, 6), (3, -40), (4, 3)], "i int, health int")
-    return files.server_order(s, 2, 5).select("i", F.col("place").cast("bigint").alias("place"))
-
-
 @query(f"{ctes('places', 'spots')}, a as (select k as id, lat, name from places), b as (select k as id, lat + 1 as lat, name from spots) select coalesce(a.id, b.id) as id, round(case when a.id is not null and a.id % 3 <> 0 then a.lat else coalesce(b.lat, a.lat) end, 7) as lat, case when a.id is null then b.name else a.name end as name from a full join b on a.id = b.id")
 def c03_merge_by_id(spark, d):
     """Outer union: the later list fills what is missing, here for every third id."""

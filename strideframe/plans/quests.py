@@ -112,13 +112,6 @@ def j04_multiset_maximum(spark, d):
     return c.groupBy("letter").agg(F.max("n").alias("n"))
 
 
-@query(f"{S}, g as (select game, count(*) as n, 20 as seats from slots group by game), t as (select sum(n) as total from g), f as (select game, n * 100 // total as base, n * 100 % total as rem from g, t), r as (select *, row_number() over (order by rem desc, game) as k, 100 - sum(base) over () as left_ from f) select game, cast(base + case when k <= left_ then 1 else 0 end as bigint) as seats from r")
-def l09_apportioned(spark, d):
-    """100 seats by largest remainders, in integers; ties to the earlier."""
-    g = slots(spark, d).groupBy(F.lit(0).alias("all_"), "game").agg(F.count("*").alias("n"))
-    return A.apportion(g, "all_", "n", "game", 100).select("game", "seats")
-
-
 @query(f"{S}, g as (select game, count(*) as n from slots group by game) select game, n // 4 + case when part <= n % 4 then 1 else 0 end as share, part from g, range(1, 5) p(part)")
 def l10_even_split(spark, d):
     g = slots(spark, d).groupBy("game").agg(F.count("*").alias("n"))
@@ -149,13 +142,6 @@ def l14_minimum_trips(spark, d):
     return z.select("game", F.array_min(n).alias("trips")).where("trips is not null")
 
 
-@query("select i, j, 40.0 + i * 0.001 as lat, k from range(20) a(i), range(20) b(j), (values (0), (1)) c(k)")
-def l19_street_grid(spark, d):
-    """Streets of a grid: the corners, each with a piece to the east and one to the north."""
-    g = spark.range(20).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint"))).alias("j"))
-    return g.select("i", "j", (F.lit(40.0) + F.col("i") * 0.001).alias("lat"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
-
-
 @query(f"{ctes('spots')}, m as (select id, {H('40.02','-110.97','lat','lon')} as m from spots) select id, case when s < 1000 then concat(cast(s as bigint), ' m') when t < 100 then concat(t // 10, '.', t % 10, ' km') else concat(cast(floor(m / 1000 + 0.5) as bigint), ' km') end as txt from (select *, floor(m / case when m < 100 then 5 else 10 end + 0.5) * case when m < 100 then 5 else 10 end as s, cast(floor(m / 1000 * 10 + 0.5) as bigint) as t from m)")
 def k01_distance_text(spark, d):
     m = spots(spark, d).select("id", geo.distance_m(40.02, -110.97, "lat", "lon").alias("m"))
@@ -187,17 +173,6 @@ def k15_enums(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.col("n_name").isin("UNITED STATES", "UNITED KINGDOM").alias("imperial"), F.when(c == "u", "high").when(c == "a", "medium").otherwise("unknown").alias("level"))
 
 
-@query("select s, v from (values ('1,234', 1234.0), ('1,5', 1.5), ('12', 12.0), ('1,234,567.25', 1234567.25), ('-3,25', -3.25), ('x', null)) t(s, v)")
-def k05_locale_numbers(spark, d):
-    return spark.createDataFrame([(s,) for s in ("1,234", "1,5", "12", "1,234,567.25", "-3,25", "x")], "s string").select("s", text.locale_number(F.col("s")).alias("v"))
-
-
-@query("select s, h from (values ('', 'cbf29ce484222325'), ('a', 'af63dc4c8601ec8c'), ('foobar', '85944171f73967e8')) t(s, h)")
-def a10_request_keys(spark, d):
-    """FNV-1a of 64 bits, against its published values."""
-    return spark.createDataFrame([("",), ("a",), ("foobar",)], "s string").select("s", text.fnv1a64(F.col("s")).alias("h"))
-
-
 @query(f"{ctes('slots', 'spots')}, c as (select s.location_id, s.tier, p.id, {H('40.02','-110.97','p.lat','p.lon')} * 1.3 / 75.0 as minutes from slots s join spots p on s.game % 50 = p.k % 50), k as (select *, abs(minutes - (tier - 0.5) * 8) as score from c), r as (select *, row_number() over (partition by location_id order by round(score, 6), id) as n from k) select location_id, id, n, cast(floor(round(score, 6) * 100) as bigint) as score_cents from r where n <= 4")
 def l02_candidates(spark, d):
     """Candidates of each slot by how far their effort is from what is wanted: the four best.
@@ -219,11 +194,6 @@ def i25_presence(spark, d):
     return fixes(spark, d).select("game", "id", F.when(a <= 12, "here").when(a <= 25, "near").otherwise("away").alias("presence"), (F.exp(-0.5 * F.pow(a / 10, 2)) > 0.1).alias("on_road"))
 
 
-@query(f"{ctes('journal_events')} select n, least(1000 * power(2, n), 300000) as wait_ms from range(12) r(n)")
-def f30_backoff(spark, d):
-    return spark.range(12).select(F.col("id").alias("n"), F.least(F.lit(1000.0) * F.pow(F.lit(2.0), F.col("id")), F.lit(300000.0)).alias("wait_ms"))
-
-
 @query(f"{S} select location_id, [0.25, 0.333, 0.5, 0.667, 0.75][list_position(list_transform([0.25, 0.333, 0.5, 0.667, 0.75], lambda f: abs(f - tier / 12.0)), list_min(list_transform([0.25, 0.333, 0.5, 0.667, 0.75], lambda f: abs(f - tier / 12.0))))] as share from slots")
 def f25_friendly_share(spark, d):
     """The nearest of five fractions, the smaller of equals."""

@@ -207,13 +207,6 @@ def f10_densified(spark, d):
     return p.select("way_id", F.size("dense").cast("bigint").alias("n_points"), F.round(F.aggregate("dense", F.lit(0.0), lambda a, x: a + x["lat"]) - F.col("last"), 5).alias("lat_sum"))
 
 
-@query("select i, j, round(40.0 + i * 0.004, 6) as lat, round(-111.0 + (j + case when i % 2 = 1 then 0.5 else 0.0 end) * 0.005, 6) as lon from (select unnest(range(0, 13)) as i), (select unnest(range(0, 11)) as j)")
-def f12_lattice(spark, d):
-    """A hexagonal lattice over a box: odd rows are half a cell further."""
-    rows = spark.range(13).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(10).cast("bigint"))).alias("j"))
-    return rows.select("i", "j", F.round(F.lit(40.0) + F.col("i") * 0.004, 6).alias("lat"), F.round(F.lit(-111.0) + (F.col("j") + F.when(F.col("i") % 2 == 1, 0.5).otherwise(0.0)) * 0.005, 6).alias("lon"))
-
-
 @query(f"{ctes('fixes')} select id, cast(floor(lat/0.02) as int) as row, cast((((floor(lon/0.02) + 9000) % 18000) + 18000) % 18000 - 9000 as int) as col, cast(floor(lat*111195.0/150.0) as bigint) as ci, cast(floor(lon*111195.0*cos(radians(lat))/150.0) as bigint) as cj from fixes")
 def f16_tiles_and_cells(spark, d):
     t, c = geo.tile("lat", "lon"), geo.explorer_cell("lat", "lon")

@@ -75,3 +75,20 @@ def goals_reached(done: DataFrame, key: str, item: str, t: str, tie: str, need:
     """(key, t, tie) of the event that reaches `need` different items, once a key, however often an item is reported."""
     first = done.groupBy(key, item).agg(F.min(F.struct(t, tie)).alias("at")).select(key, "at.*")
     return first.withColumn("_sf_n", F.row_number().over(Window.partitionBy(key).orderBy(t, tie))).where(F.col("_sf_n") == need).drop("_sf_n")
+
+
+def step_history(readings: DataFrame, key: str, keep_ms: int = 120_000) -> DataFrame:
+    """(key, t_ms, kept, steps, last_event_ms): at each time of a step counter's readings, how many of the last keep_ms count,
+    the steps from the first of them to the last, and the time of the sensor's last event (null: none yet).
+
+    readings: (key, t_ms, id, total, event). Of readings at one time an event counts before a fallback, then the smaller id. A
+    total below the one before starts over. All are windows: islands by resets, a frame by time, an as-of maximum.
+    """
+    first = F.min(F.struct((~F.col("event")).alias("fallback"), "id", "total"))
+    one = readings.where("t_ms is not null and total is not null").groupBy(key, "t_ms").agg(first.alias("r"))
+    by_time = Window.partitionBy(key).orderBy("t_ms")
+    one = one.select(key, "t_ms", F.col("r.total").alias("total"), F.when(~F.col("r.fallback"), F.col("t_ms")).alias("event_ms"))
+    one = one.withColumn("reset", F.coalesce(F.col("total") < F.lag("total").over(by_time), F.lit(False)).cast("int"))
+    one = one.withColumn("since", F.sum("reset").over(by_time)).withColumn("last_event_ms", F.max("event_ms").over(by_time))
+    recent = Window.partitionBy(key, "since").orderBy("t_ms").rangeBetween(-keep_ms, 0)
+    return one.select(key, "t_ms", F.count("*").over(recent).alias("kept"), (F.col("total") - F.first("total").over(recent)).alias("steps"), "last_event_ms")

@@ -10,7 +10,7 @@ from strideframe.operators import sequences as S
 from strideframe.plans.catalog import query
 from strideframe.plans.fixtures import XY, H, ctes, fixes, table, way_points, xy
 from strideframe.streaming.fold import fold
-from strideframe.streaming.machines import NearMissLog, SavePolicy, StepHistory, Throttle
+from strideframe.streaming.machines import NearMissLog, SavePolicy, Throttle
 
 HOUR_MS = 3_600_000
 
@@ -128,7 +128,12 @@ def b22_near_misses(spark, d):
     return fold(rows, "game", ["t_ms", "id"], NearMissLog(24 * HOUR_MS))
 
 
-@query()
+@query(f"""{ctes('fixes')}, r as (select game, t_ms, id, cast(floor(value) as bigint) as total, accuracy_m < 25 as event from fixes),
+o as (select game, t_ms, total, case when event then t_ms end as event_ms from r qualify row_number() over (partition by game, t_ms order by event desc, id) = 1),
+p as (select *, coalesce(total < lag(total) over (partition by game order by t_ms), false) as reset from o),
+s as (select *, sum(cast(reset as int)) over w as since, max(event_ms) over w as last_event_ms from p window w as (partition by game order by t_ms))
+select game, t_ms, count(*) over v as kept, total - first_value(total) over v as steps, last_event_ms from s window v as (partition by game, since order by t_ms range between {48 * HOUR_MS} preceding and current row)""")
 def i05_step_history(spark, d):
-    rows = fixes(spark, d).select("game", "t_ms", "id", F.floor("value").alias("total"), (F.col("id") % 3 != 0).alias("event"))
-    return fold(rows, "game", ["t_ms", "id"], StepHistory(48 * HOUR_MS))
+    """What a step counter's readings of the last two days say, its value standing for the count."""
+    rows = fixes(spark, d).select("game", "t_ms", "id", F.floor("value").alias("total"), (F.col("accuracy_m") < 25).alias("event"))
+    return M.step_history(rows, "game", 48 * HOUR_MS)

@@ -55,6 +55,7 @@ def fold_stream(rows: DataFrame, key: str, order: list[str], machine: Machine, e
     older than the watermark. Without it states stay for good.
     """
     schema, columns = _schema(rows, key, machine)
+    zone = rows.sparkSession.conf.get("spark.sql.session.timeZone")  # pandas gets times of that zone, without it
 
     def run(keys: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -66,7 +67,8 @@ def fold_stream(rows: DataFrame, key: str, order: list[str], machine: Machine, e
         newest = known["newest"]
         if event_time:
             times = pdf.pop(event_time)
-            newest = known["newest"] = max(newest, int(times.max().timestamp() * 1000))
+            if times.notna().any():  # of rows without a time the state stays as old as it is
+                newest = known["newest"] = max(newest, int(times.max().tz_localize(zone, ambiguous=True, nonexistent="shift_forward").timestamp() * 1000))
         out = [(keys[0], *x) for row in pdf.to_dict("records") for x in machine.step(known["state"], row)]
         state.update((json.dumps(known),))
         if event_time:

@@ -351,35 +351,3 @@ class NearMissLog(Machine):
             return []
         s[place] = [r["reason"], t]
         return [(r["id"], place, r["reason"])]
-
-
-@dataclass
-class StepHistory(Machine):
-    """Readings of a step counter kept for keep_ms: events of the sensor, and fallback readings that give way to later events.
-
-    A reading not newer than the last kept is ignored; a counter that went down starts over. Gives, for each row, how many
-    readings are kept, the steps between the first and the last of them, and the time of the last event (null: none).
-    """
-
-    keep_ms: int = 120_000
-    output = "id bigint, kept bigint, steps bigint, last_event_ms bigint"
-
-    def start(self) -> Row:
-        return {"pts": [], "event": None}
-
-    def step(self, s: Row, r: Row) -> list[tuple]:
-        t, total, pts, event = int(r["t_ms"]), int(r["total"]), s["pts"], s["event"]
-        taken = True
-        if r["event"]:
-            taken = event is None or t > event
-            if taken:
-                while pts and pts[-1][0] >= t and (event is None or pts[-1][0] > event):
-                    pts.pop()
-                s["event"] = t
-        if taken and not (pts and t <= pts[-1][0]):
-            if pts and total < pts[-1][1]:
-                pts.clear()
-            pts.append([t, total])
-            while t - pts[0][0] > self.keep_ms:
-                pts.pop(0)
-        return [(r["id"], len(pts), pts[-1][1] - pts[0][1] if pts else 0, s["event"])]

@@ -11,7 +11,7 @@ from strideframe.functions import documents, geo
 from strideframe.operators import measures as M
 from strideframe.sources import files
 from strideframe.streaming.fold import fold
-from strideframe.streaming.machines import NearMissLog, SavePolicy, StepHistory, Throttle
+from strideframe.streaming.machines import NearMissLog, SavePolicy, Throttle
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,11 +102,27 @@ def test_near_misses_are_logged_again_after_a_while_or_for_another_reason():
     assert [x[0] for x in run(NearMissLog(), rows)] == [0, 2, 3, 5]
 
 
-def test_step_history():
-    rows = [(1_000, 10, True), (2_000, 15, False), (3_000, 20, False), (2_500, 18, True), (2_500, 30, True), (4_000, 5, True), (130_000, 9, True)]
-    got = run(StepHistory(), [{"id": i, "t_ms": t, "total": n, "event": e} for i, (t, n, e) in enumerate(rows)])
-    # The event at 2.5 s takes the place of the fallback at 3 s; a lower total starts over; readings of over two minutes go.
-    assert got == [(0, 1, 0, 1_000), (1, 2, 5, 1_000), (2, 3, 10, 1_000), (3, 3, 8, 2_500), (4, 3, 8, 2_500), (5, 1, 0, 4_000), (6, 1, 0, 130_000)]
+def test_step_history_equals_a_replay(spark):
+    rng = random.Random(11)
+    rows, t = [], 0
+    for i in range(400):
+        t += rng.choice([0, 1000, 20_000, 70_000])
+        rows.append((rng.choice("ab"), t, i, rng.choice([i, i, i, i, 3]), rng.random() < 0.5))
+    want = []
+    for g in "ab":
+        at = {}
+        for _, t, i, total, event in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], not r[4], r[2])):
+            at.setdefault(t, (total, event))
+        kept, last, event_ms = [], None, None
+        for t, (total, event) in sorted(at.items()):
+            kept = [k for k in kept if t - k[0] <= 120_000] if last is None or total >= last else []
+            kept.append((t, total))
+            last, event_ms = total, t if event else event_ms
+            want.append((g, t, len(kept), total - kept[0][1], event_ms))
+    df = spark.createDataFrame(rows + [("c", None, 1, 1, True), ("c", 5, 2, None, True)], "g string, t_ms long, id long, total long, event boolean")
+    assert sorted(tuple(r) for r in M.step_history(df, "g").collect()) == sorted(want)
+    assert M.step_history(df.limit(0), "g").count() == 0
+
 
 
 def test_machines_by_key(spark):

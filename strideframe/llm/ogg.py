@@ -206,8 +206,20 @@ def store(payload: str | Column, **how) -> Column:
     return of(payload)
 
 
-def _rate(streams: list[Stream]) -> int:
-    return next((ident[2] for s in streams if (ident := identified(s))), 8000)
+def granule_rate(stream: Stream) -> int:
+    """Granules a second, from the head that a stream's first packet is; 0 where it is none of those known."""
+    if ident := identified(stream):
+        return ident[2]
+    head = stream.packets[0] if stream.packets else b""
+    if head.startswith(b"\x01vorbis") and len(head) >= 16:
+        return int.from_bytes(head[12:16], "little")
+    if head.startswith(b"OpusHead"):
+        return 48_000  # whatever was recorded
+    if head.startswith(b"\x7fFLAC") and len(head) >= 30:
+        return int.from_bytes(head[27:30], "big") >> 4
+    if head.startswith(b"Speex   ") and len(head) >= 40:
+        return int.from_bytes(head[36:40], "little")
+    return 0
 
 
 _SUMMARY = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, streams int, pages int, packets int, faults int, seconds double"
@@ -216,7 +228,7 @@ _SUMMARY = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, medi
 def summary_of(media: bytes | None) -> tuple:
     media = media or b""
     samples, streams, faults = restore_bytes(media)
-    seconds = sum(max((t for t in timestamps(s, _rate(streams)) if t is not None), default=0.0) for s in streams)
+    seconds = sum(max((t for t in timestamps(s, granule_rate(s)) if t is not None), default=0.0) for s in streams)
     mean, rms, peak, crossed = sample_features(samples)
     pages, packets = sum(s.pages for s in streams), sum(len(s.packets) for s in streams)
     feature = f"streams={len(streams)};pages={pages};packets={packets};seconds={seconds:.6f};mean={mean:.4f};rms={rms:.4f};peak={peak};crossings={crossed}"
@@ -236,12 +248,12 @@ def summary(media: str | Column) -> Column:
 
 def packets_of(media: bytes | None) -> list[dict]:
     streams = demultiplex(read_pages(media or b"")[0])
-    return [{"serial": s.serial, "packet": k, "granule": g, "seconds": t, "data": p} for s in streams for k, (p, g, t) in enumerate(zip(s.packets, s.granules, timestamps(s, _rate(streams))))]
+    return [{"serial": s.serial, "packet": k, "granule": g, "seconds": t, "data": p} for s in streams for k, (p, g, t) in enumerate(zip(s.packets, s.granules, timestamps(s, granule_rate(s))))]
 
 
 def packets(media: str | Column) -> Column:
-    """array<struct<serial, packet, granule, seconds, data>> of any Ogg file; seconds by the rate of store's identification
-    packet, else at 8000 granules a second (a foreign stream says its own rate in its first packet)."""
+    """array<struct<serial, packet, granule, seconds, data>> of any Ogg file; seconds by the rate that a
+    stream's first packet says (store's own, Vorbis, Opus, FLAC, Speex), else null."""
 
     @F.pandas_udf("array<struct<serial:bigint,packet:int,granule:bigint,seconds:double,data:binary>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -208,3 +208,27 @@ def test_filter_lets_every_word_through():
         made = {c for _, c in spelling.neighbours([w], "abc", full)}
         want = {w[:i] + w[i + 1 :] for i in range(3)} | {w[:i] + c + w[i + 1 :] for i in range(3) for c in "abc"} | {w[:i] + c + w[i:] for i in range(4) for c in "abc"}
         assert made == want - {w}
+
+
+# Ogg streams of others
+
+
+def test_times_of_foreign_streams():
+    from strideframe.llm import ogg
+
+    heads = {
+        b"\x01vorbis" + (0).to_bytes(4, "little") + b"\x01" + (44_100).to_bytes(4, "little") + bytes(14): 44_100,
+        b"OpusHead\x01\x02" + bytes(9): 48_000,
+        b"\x7fFLAC\x01\x00\x00\x01fLaC" + bytes(4) + bytes(10) + (96_000 << 4).to_bytes(3, "big") + bytes(21): 96_000,
+        b"Speex   " + bytes(28) + (16_000).to_bytes(4, "little") + bytes(40): 16_000,
+        b"something else": 0,
+        b"": 0,
+        b"\x01vorbis": 0,
+    }
+    for head, rate in heads.items():
+        s = ogg.Stream.__new__(ogg.Stream)
+        s.packets, s.granules = [head, b"x"], [0, 44_100]
+        assert ogg.granule_rate(s) == rate
+        assert ogg.timestamps(s, ogg.granule_rate(s))[1] == (44_100 / rate if rate else None)
+    own = ogg.packets_of(ogg.store_bytes(b"a" * 8000))
+    assert max(p["seconds"] for p in own) > 0

@@ -36,3 +36,13 @@ def thickest(points: DataFrame, key: str, radius: float, rounds: int = 8, x: str
         centre = own.join(centre, key).groupBy(key).agg(*mean(F.col("w") * F.exp(-0.5 * d2 / (radius * radius))))
     inside = F.sum(F.when(d2 <= radius * radius, F.col("w")).otherwise(0.0)).alias("inside")
     return own.join(centre, key).groupBy(key).agg(F.first("mx").alias("x"), F.first("my").alias("y"), inside)
+
+
+def weighted_moments(points: DataFrame, key: str, x: str = "x", y: str = "y", w: str = "w") -> DataFrame:
+    """(key, mean_x, mean_y, cov_xx, cov_xy, cov_yy) of weighted points, the covariances about the means, so that clouds far
+    from the origin lose no digits. Points with nulls or without positive weight take no part."""
+    own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(w) > 0)).select(key, F.col(x).alias("x"), F.col(y).alias("y"), F.col(w).alias("w"))
+    mean = lambda c: F.sum(F.col("w") * c) / F.sum("w")
+    centre = own.groupBy(key).agg(mean(F.col("x")).alias("mx"), mean(F.col("y")).alias("my"))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    return own.join(centre, key).groupBy(key).agg(F.first("mx").alias("mean_x"), F.first("my").alias("mean_y"), mean(dx * dx).alias("cov_xx"), mean(dx * dy).alias("cov_xy"), mean(dy * dy).alias("cov_yy"))

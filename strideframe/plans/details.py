@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from strideframe.functions import geo, links, numbers
 from strideframe.operators import sequences as S
+from strideframe.operators import assignment as A
+from strideframe.operators import clusters
 from strideframe.plans.catalog import query
 from strideframe.plans.fixtures import H, ctes, fixes, places, slots, spots, table, way_points
 from strideframe.plans.spatial import SEGMENTS, _segments
@@ -147,26 +149,23 @@ def b20_without_parking(spark, d):
     return p.join(parking, ["lat", "lon"], "left_anti").select("way_id", "i")
 
 
-@query(f"{ctes('places', 'spots')}, r as (select p.id, s.id as spot, {H('p.lat','p.lon','s.lat','s.lon')} as dist_m from places p join spots s on abs(p.lat - s.lat) < 0.01 where {H('p.lat','p.lon','s.lat','s.lon')} <= 800), w as (select *, row_number() over (partition by id order by case when dist_m >= 300 and dist_m <= 500 then 0 else 1 end, case when dist_m >= 300 and dist_m <= 500 then md5('3:' || id || ':' || spot) else '' end, round(abs(dist_m - 400), 6), spot) as n from r) select id, spot, round(dist_m, 4) as dist_m from w where n = 1")
+@query(f"""{ctes('places', 'spots')}, r as (select p.id, s.id as spot, s.lat, s.lon, {H('p.lat','p.lon','s.lat','s.lon')} as dist_m from places p join spots s on abs(p.lat - s.lat) < 0.01 where {H('p.lat','p.lon','s.lat','s.lon')} <= 200),
+w as (select * from r qualify row_number() over (partition by id order by case when dist_m between 60 and 100 then 0 else 1 end, case when dist_m between 60 and 100 then md5('3:' || id || ':' || spot) else '' end, round(abs(dist_m - 80), 6), spot) = 1),
+m as (select id, radians(lat) as la, radians(lon) as lo, radians(cast('0x' || substr(md5('3:' || id), 1, 8) as bigint) % 360) as b, 80.0 / 6371000.0 as dd from places), q as (select *, asin(sin(la) * cos(dd) + cos(la) * sin(dd) * cos(b)) as l2 from m)
+select id, spot, round(coalesce(w.lat, degrees(l2)), 7) as lat, round(coalesce(w.lon, degrees(lo + atan2(sin(b) * sin(dd) * cos(la), cos(dd) - sin(la) * sin(l2)))), 7) as lon, round(coalesce(dist_m, 80.0), 4) as dist_m from q left join w using (id)""")
 def l17_trap_points(spark, d):
-    """For each place a spot 300 to 500 m away that a seed picks, else the one nearest to 400 m."""
-    from strideframe.operators import joins as J
+    """For each place a spot 60 to 100 m away that a seed picks, else the one nearest to 80 m, else a point made up there."""
+    p = A.trap_points(places(spark, d), spots(spark, d), 60, 100, 3)
+    return p.select("id", "spot", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("dist_m", 4).alias("dist_m"))
 
-    r = J.radius_join(places(spark, d).select("id", "lat", "lon"), spots(spark, d).select("id", "lat", "lon"), 800)
-    ring = F.col("dist_m").between(300, 500)
-    order = F.struct((~ring).alias("out"), F.when(ring, F.md5(F.concat(F.lit("3:"), "id", F.lit(":"), "r_id"))).otherwise("").alias("draw"), F.round(F.abs(F.col("dist_m") - 400), 6).alias("off"), F.col("r_id"))
-    return r.groupBy("id").agg(F.min_by(F.struct("r_id", "dist_m"), order).alias("x")).select("id", F.col("x.r_id").alias("spot"), F.round("x.dist_m", 4).alias("dist_m"))
 
-
-@query(f"{ctes('fixes')}, m as (select game, 1.0 / accuracy_m as w, (lon + 110.97) * 111195.0 * cos(radians(40.02)) as e, (lat - 40.02) * 111195.0 as n from fixes), s as (select game, sum(w) as w, sum(w * e) / sum(w) as me, sum(w * n) / sum(w) as mn, sum(w * e * e) / sum(w) as ee, sum(w * e * n) / sum(w) as en, sum(w * n * n) / sum(w) as nn from m group by game) select game, round(me, 3) as mean_e, round(mn, 3) as mean_n, round(ee - me * me, 2) as cov_ee, round(en - me * mn, 2) as cov_en, round(nn - mn * mn, 2) as cov_nn from s")
+@query(f"""{ctes('fixes')}, m as (select game, 1.0 / accuracy_m as w, (lon + 110.97) * 111195.0 * cos(radians(40.02)) as e, (lat - 40.02) * 111195.0 as n from fixes), c as (select game, sum(w * e) / sum(w) as me, sum(w * n) / sum(w) as mn from m group by game)
+select game, round(any_value(me), 3) as mean_e, round(any_value(mn), 3) as mean_n, round(sum(w * (e - me) * (e - me)) / sum(w), 2) as cov_ee, round(sum(w * (e - me) * (n - mn)) / sum(w), 2) as cov_en, round(sum(w * (n - mn) * (n - mn)) / sum(w), 2) as cov_nn from m join c using (game) group by game""")
 def d24_weighted_moments(spark, d):
-    """Weighted mean and covariance of a cloud of points in the local frame: sums alone, so partial before the shuffle."""
-    p = fixes(spark, d).select("game", (1.0 / F.col("accuracy_m")).alias("w"), geo.to_enu("lat", "lon", 40.02, -110.97).alias("p")).select("game", "w", "p.e", "p.n")
-    w = F.sum("w")
-    mean = lambda x: F.sum(F.col("w") * x) / w
-    e, n = F.col("e"), F.col("n")
-    s = p.groupBy("game").agg(mean(e).alias("me"), mean(n).alias("mn"), mean(e * e).alias("ee"), mean(e * n).alias("en"), mean(n * n).alias("nn"))
-    return s.select("game", F.round("me", 3).alias("mean_e"), F.round("mn", 3).alias("mean_n"), F.expr("round(ee - me * me, 2)").alias("cov_ee"), F.expr("round(en - me * mn, 2)").alias("cov_en"), F.expr("round(nn - mn * mn, 2)").alias("cov_nn"))
+    """Weighted mean and covariance of a cloud of points in the local frame: means first, then sums of what is off them."""
+    p = fixes(spark, d).select("game", (1.0 / F.col("accuracy_m")).alias("w"), geo.to_enu("lat", "lon", 40.02, -110.97).alias("p")).select("game", "w", F.col("p.e").alias("x"), F.col("p.n").alias("y"))
+    s = clusters.weighted_moments(p, "game")
+    return s.select("game", F.round("mean_x", 3).alias("mean_e"), F.round("mean_y", 3).alias("mean_n"), F.round("cov_xx", 2).alias("cov_ee"), F.round("cov_xy", 2).alias("cov_en"), F.round("cov_yy", 2).alias("cov_nn"))
 
 
 @query(f"{ctes('way_points')}, {SEGMENTS} select seg from segments where {H('a_lat','a_lon','b_lat','b_lon')} between 1900.0 and 2100.0")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strideframe.functions import geo
-from strideframe.operators import clusters, graph, reach
+from strideframe.operators import assignment, clusters, graph, reach
 
 
 def slow_reached(locations, needs):
@@ -75,6 +75,26 @@ def test_two_planted_clusters(spark):
     assert (got["c"].x, got["c"].y, got["c"].inside) == (5.0, 6.0, 2.0) and "d" not in got and got["a"].inside > 110
 
 
+def test_moments_far_from_the_origin(spark):
+    rng = np.random.default_rng(4)
+    x, y, w = rng.normal(1e9, 2, 500), rng.normal(-1e9, 3, 500), rng.uniform(0.1, 1, 500)
+    df = spark.createDataFrame([("a", float(a), float(b), float(c)) for a, b, c in zip(x, y, w)] + [("b", None, 1.0, 1.0)], "k string, x double, y double, w double")
+    (r,) = clusters.weighted_moments(df, "k").collect()
+    want = np.cov(x - 1e9, y + 1e9, aweights=w, ddof=0)
+    assert np.allclose([r.cov_xx, r.cov_xy, r.cov_yy], [want[0, 0], want[0, 1], want[1, 1]], rtol=1e-4, atol=1e-4)
+
+
+def test_every_place_has_a_trap_point(spark):
+    spot = lambda i, m: (f"s{i}", 40 + m / 111_195, -111.0)
+    places = spark.createDataFrame([("near", 40.0, -111.0), ("alone", 50.0, 10.0), ("none", None, 1.0)], "id string, lat double, lon double")
+    spots = spark.createDataFrame([spot(1, 70.0), spot(2, 90.0), spot(3, 150.0)], "id string, lat double, lon double")
+    got = {r.id: r for r in assignment.trap_points(places, spots, 60, 100, 3).collect()}
+    assert set(got) == {"near", "alone"} and got["near"].spot in ("s1", "s2") and got["alone"].spot is None
+    assert abs(slow_metres((50.0, 10.0), (got["alone"].lat, got["alone"].lon)) - 80) < 0.1
+    far = {r.id: r for r in assignment.trap_points(places, spots.where("id = 's3'"), 60, 100, 3).collect()}
+    assert far["near"].spot == "s3"
+
+
 def test_rings_over_longitude_180(spark):
     ring = [(0.0, 179.0), (2.0, 179.0), (2.0, -178.0), (0.0, -178.0)]
     df = spark.createDataFrame([([{"lat": a, "lon": b} for a, b in ring],)], "r array<struct<lat:double,lon:double>>")

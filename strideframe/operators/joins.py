@@ -28,28 +28,56 @@ def _column(lon: Column, columns: Column) -> Column:
     return F.floor((lon + 180.0) / 360.0 * columns)
 
 
+def cell_of(rows: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """rows plus their cell (_sf_i, _sf_j): as high as the radius and, in each row of cells, about as wide."""
+    height = _height(radius_m)
+    i = F.floor(F.col(lat) / height)
+    return rows.withColumn("_sf_i", i).withColumn("_sf_j", F.pmod(_column(F.col(lon), _columns(F.col("_sf_i"), height)), _columns(F.col("_sf_i"), height)).cast("bigint"))
+
+
+def cells_in_reach(rows: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """rows once for each cell (_sf_i, _sf_j) that a point within radius_m may have."""
+    height = _height(radius_m)
+    at, lo = F.col(lat), F.col(lon)
+    row = F.floor(at / height)
+    out = rows.withColumn("_sf_i", F.explode(F.sequence(row - 1, row + 1)))
+    # How far in longitude the radius reaches from that latitude; all round where a pole is within it.
+    sine = math.sin(min(math.pi / 2, radius_m / geo.EARTH_RADIUS_M)) * 1.001 / F.greatest(F.lit(1e-12), F.cos(F.radians(at)))
+    n = _columns(F.col("_sf_i"), height)
+    reach = F.when(sine >= 1.0, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sine))))
+    columns = F.when(reach * 2 >= 360.0 * (1 - 2 / n), F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.transform(F.sequence(_column(lo - reach, n).cast("bigint"), _column(lo + reach, n).cast("bigint")), lambda c: F.pmod(c, n.cast("bigint"))))
+    return out.withColumn("_sf_j", F.explode(columns))
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, min_m: float = 0.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Pairs at most radius_m (and at least min_m) apart: left's columns, right's with the prefix r_, and dist_m.
 
     Cells are as high as the radius and, in each row, about as wide, so that pairs are found at any latitude and across
     longitude 180. Rows without coordinates have no pairs.
     """
-    height = _height(radius_m)
-    row = lambda c: F.floor(c / height)
-    a = left.withColumn("_sf_i", row(F.col(lat))).withColumn("_sf_j", F.pmod(_column(F.col(lon), _columns(F.col("_sf_i"), height)), _columns(F.col("_sf_i"), height)).cast("bigint"))
-    r_lat, r_lon = F.col(f"r_{lat}"), F.col(f"r_{lon}")
-    b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).withColumn("_sf_i", F.explode(F.sequence(row(r_lat) - 1, row(r_lat) + 1)))
-    # How far in longitude the radius reaches from that latitude; all round where a pole is within it.
-    sine = math.sin(min(math.pi / 2, radius_m / geo.EARTH_RADIUS_M)) * 1.001 / F.greatest(F.lit(1e-12), F.cos(F.radians(r_lat)))
-    n = _columns(F.col("_sf_i"), height)
-    reach = F.when(sine >= 1.0, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sine))))
-    columns = F.when(reach * 2 >= 360.0 * (1 - 2 / n), F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.transform(F.sequence(_column(r_lon - reach, n).cast("bigint"), _column(r_lon + reach, n).cast("bigint")), lambda c: F.pmod(c, n.cast("bigint"))))
-    b = b.withColumn("_sf_j", F.explode(columns))
+    a = cell_of(left, radius_m, lat, lon)
+    b = cells_in_reach(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), radius_m, f"r_{lat}", f"r_{lon}")
     # From an array of one, so that the distance is computed once a pair and not again in the filter (see segment_join).
     pairs = a.join(b, ["_sf_i", "_sf_j"]).withColumn("dist_m", F.explode(F.array(geo.distance_m(lat, lon, f"r_{lat}", f"r_{lon}"))))
     return pairs.where((F.col("dist_m") <= radius_m) & (F.col("dist_m") >= min_m)).drop("_sf_i", "_sf_j")
 
 
+def without_near(left: DataFrame, right: DataFrame, radius_m: float, by: list[str]) -> DataFrame:
+    """left's rows with no row of right of the same `by` (nulls are equal) nearer than radius_m.
+
+    An anti join on key and cell: no pairs come out, however many rows of right are near. Rows of either side without
+    coordinates are near nothing.
+    """
+    if radius_m <= 0:
+        return left
+    b = right.select(*(F.col(k).alias(f"_sf_r_{k}") for k in by), F.col("lat").alias("_sf_lat"), F.col("lon").alias("_sf_lon")).where("_sf_lat is not null and _sf_lon is not null").distinct()
+    b = cells_in_reach(b, radius_m, "_sf_lat", "_sf_lon").withColumnsRenamed({"_sf_i": "_sf_ri", "_sf_j": "_sf_rj"})
+    same = (F.col("_sf_i") == F.col("_sf_ri")) & (F.col("_sf_j") == F.col("_sf_rj"))
+    for k in by:
+        same &= F.col(k).eqNullSafe(F.col(f"_sf_r_{k}"))
+    return cell_of(left, radius_m).join(b, same & (geo.distance_m("lat", "lon", "_sf_lat", "_sf_lon") < radius_m), "left_anti").drop("_sf_i", "_sf_j")
+
+
 def nearest(pairs: DataFrame, keys: list[str], k: int = 1, tie: str = "r_id") -> DataFrame:
     """The k nearest of each key, ties by id: partial in each task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy("dist_m", tie)

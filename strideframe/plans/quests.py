@@ -210,13 +210,6 @@ def l01_sampled_trips(spark, d):
     return A.sample_trips(s.withColumn("part", F.col("game") % 50), p, ["part"], (40.025, -110.975), step_m=600.0, spacing_m=60.0, seed=5)
 
 
-@query()
-def l06_even_spread(spark, d):
-    """Items from home outward, at least 60 m apart; greedy within each part."""
-    p = spots(spark, d).select((F.col("k") % 50).alias("part"), "id", "lat", "lon")
-    return A.spread(p, ["part"], (40.025, -110.975), n=8, spacing_m=60.0, seed=3)
-
-
 @query()
 def l16_reachable(spark, d):
     """Fixpoint: locations open as the items found so far allow, until nothing new does."""

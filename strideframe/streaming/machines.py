@@ -254,59 +254,6 @@ class TrapTimer(Machine):
         return [(at, k) for at, k in ended]
 
 
-@dataclass
-class StreetMatcher(Machine):
-    """A hidden Markov model over street candidates, Viterbi with a fixed lag; rows bring `candidates`, [[segment, metres, lat, lon], ...].
-
-    Emission: Gaussian in the distance, off-road at a fixed one. Transition: how far the way between two spots differs from the
-    way between the fixes. A gap of over gap_ms, or a fix without candidates, starts a new chain. A row for each fix once `lag`
-    later ones have come (segment null: off the road); the last ones of a chain stay undecided until it goes on.
-    """
-
-    sigma_m: float = 15.0
-    beta_m: float = 40.0
-    off_m: float = 60.0
-    lag: int = 3
-    gap_ms: int = 120_000
-    output = "id bigint, segment string, lat double, lon double"
-
-    def step(self, s: Row, r: Row) -> list[tuple]:
-        spots = [[c[0], float(c[1]), float(c[2]), float(c[3])] for c in (r["candidates"] if r["candidates"] is not None else [])]
-        spots.append([None, self.off_m, r["lat"], r["lon"]])
-        chain, out = s.get("chain", []), []
-        if chain and r["t_ms"] - s["t"] > self.gap_ms:
-            out, chain = self._decided(chain, 0), []
-        emit = [-0.5 * (d / self.sigma_m) ** 2 for _, d, _, _ in spots]
-        if chain:
-            last = chain[-1]
-            moved = metres(last["lat"], last["lon"], r["lat"], r["lon"])
-            back, score = [], []
-            for (_, _, la, lo), e in zip(spots, emit):
-                ways = [v - abs(metres(p[2], p[3], la, lo) - moved) / self.beta_m for v, p in zip(last["score"], last["spots"])]
-                best = max(range(len(ways)), key=ways.__getitem__)
-                back.append(best)
-                score.append(ways[best] + e)
-        else:
-            back, score = [0] * len(spots), emit
-        top = max(score)
-        chain = [*chain, {"id": int(r["id"]), "lat": r["lat"], "lon": r["lon"], "spots": spots, "back": back, "score": [v - top for v in score]}]
-        if len(chain) > self.lag:
-            out += self._decided(chain, self.lag)[:1]
-            chain = chain[1:]
-        s["chain"], s["t"] = chain, int(r["t_ms"])
-        return out
-
-    def _decided(self, chain: list[Row], lag: int) -> list[tuple]:
-        """The best path's spots of all but the last `lag` columns."""
-        k = max(range(len(chain[-1]["score"])), key=chain[-1]["score"].__getitem__)
-        path = []
-        for column in reversed(chain):
-            segment, _, la, lo = column["spots"][k]
-            path.append((column["id"], segment, la, lo))
-            k = column["back"][k]
-        return path[::-1][: len(chain) - lag]
-
-
 @dataclass
 class SavePolicy(Machine):
     """Rows at which to save: the first, eventful ones, and those every_ms from the last save, before or after it."""

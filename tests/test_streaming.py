@@ -3,7 +3,7 @@ import random
 
 from strideframe.streaming.fold import fold, fold_stream
 from strideframe.streaming.imm import ImmFilter
-from strideframe.streaming.machines import Debounce, HomeWatch, JournalThrottle, PlainFilter, QuestTracker, StreetMatcher, Throttle, TrapTimer, metres
+from strideframe.streaming.machines import Debounce, HomeWatch, JournalThrottle, PlainFilter, QuestTracker, Throttle, TrapTimer, metres
 
 FIX = "game int, id long, t_ms long, lat double, lon double, accuracy_m double, mock boolean"
 
@@ -106,19 +106,6 @@ def test_timers():
     assert [x[1] for x in run(home, [at(0, 0), at(60, 10, 30.0), at(200, 20), at(0, 30), at(0, 40)])] == ["home", "away", "home"]
 
 
-def test_matcher_stays_on_its_street():
-    """Two parallel streets 30 m apart; one fix strays to just past the middle."""
-    k = 111195 * math.cos(math.radians(40))
-    rows = []
-    for i in range(20):
-        east = 16.0 if i == 10 else 2.0
-        r = at(10 * i, 5 * i, 5.0, i) | {"lon": -111 + east / k}
-        rows.append(r | {"candidates": [["a", abs(east), r["lat"], -111.0], ["b", abs(30 - east), r["lat"], -111 + 30 / k]]})
-    out = run(StreetMatcher(beta_m=5.0), rows)
-    assert len(out) == 17 and {x[1] for x in out} == {"a"}
-    assert [x[1] for x in run(StreetMatcher(lag=0), [at(0, 0) | {"candidates": None}])] == [None]
-
-
 def test_smoother_and_turns():
     import numpy as np
 

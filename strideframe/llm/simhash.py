@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import LOWER, UPPER, lookup_hot, materialize, text_or_empty
+from strideframe.llm.common import LOWER, UPPER, free_name, lookup_hot, materialize, text_or_empty
 
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Shingles whose bits are summed at once.
@@ -248,11 +248,13 @@ def keep_one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "d
     """One row of each group of docs: the one of the smallest id (nulls last), then the smallest text hash; of rows that are
     equal in both any one stays.
 
-    Rows are written once with a key of their own, so that a group's rows can be told apart though they repeat id and text.
+    Rows are written once with a key of their own, so that a group's rows can be told apart though they repeat id and text;
+    all columns of docs stay, whatever their names.
     """
-    keyed = materialize(docs.withColumn("_sf_row", F.monotonically_increasing_id()), "keyed-rows")
-    grouped = near_duplicate_groups(keyed, text=text, doc_id=doc_id, row="_sf_row", **how)
+    row = free_name(docs, "row_key")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-rows")
+    grouped = near_duplicate_groups(keyed, text=text, doc_id=doc_id, row=row, **how)
     # Partial minima before the shuffle: a group of any size is one row of each task.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row")
-    kept = grouped.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_sf_row"))
-    return keyed.join(kept, "_sf_row", "left_semi").drop("_sf_row")
+    kept = grouped.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
+    return keyed.join(kept, row, "left_semi").drop(row)

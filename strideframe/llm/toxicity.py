@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import materialize
+from strideframe.llm.common import free_name, materialize
 from strideframe.llm.linear import fit_linear
 
 #: Labelled rows that the lexicon and the classifier are learned from, at most.
@@ -195,6 +195,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> DataFrame:
-    """docs without those predicted toxic."""
-    bad = score_documents(docs, labels, text, doc_id, toxic).where("predicted = 1").select(F.col("doc_id").alias("_sf_id"), F.col("text_hash").alias("_sf_th")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_sf_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_sf_th")), "left_anti")
+    """docs without those predicted toxic; all columns of docs stay, whatever their names."""
+    id_name, hash_name = free_name(docs, "rejected_id"), free_name(docs, "rejected_hash")
+    bad = score_documents(docs, labels, text, doc_id, toxic).where("predicted = 1").select(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)).distinct()
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col(id_name)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(hash_name)), "left_anti")

@@ -245,7 +245,9 @@ def test_toxicity_learns_from_labels(spark):
     got = {r.doc_id: r for r in toxicity.score_documents(docs(spark, texts + ODD), labels).collect()}
     assert sum(got[i].predicted == y[i] for i in range(200, 300)) >= 97 and all(0 <= r.score <= 1 for r in got.values()) and len(got) == 300 + len(ODD)
     assert {r.score for r in toxicity.score_documents(docs(spark, ODD), labels.limit(0)).collect()} == {0.0}
-    assert toxicity.reject_toxic(docs(spark, texts), labels).count() >= 220
+    clashing = docs(spark, texts).withColumns({c: F.lit(7) for c in ("_sf_id", "_sf_th", "Rejected_ID", "rejected_hash", "text_hash", "score")})
+    kept = toxicity.reject_toxic(clashing, labels)
+    assert kept.columns == clashing.columns and kept.count() >= 220
 
 
 def test_rare_toxic_words_count_and_copies_do_not(spark):
@@ -402,6 +404,9 @@ def test_one_row_of_each_group_stays(spark):
     kept = sorted((r.text.lower(), r.doc_id or 0) for r in simhash.keep_one_of_each_group(df).collect())
     assert kept == sorted([(a, 3), (b, 1), (c, 0), (d, 3)])
     assert simhash.keep_one_of_each_group(df).columns == df.columns
+    clashing = df.withColumns({c: F.lit(7) for c in ("_sf_row", "ROW_KEY", "row", "fp", "root")})
+    kept = simhash.keep_one_of_each_group(clashing)
+    assert kept.columns == clashing.columns and {(r._sf_row, r.ROW_KEY) for r in kept.collect()} == {(7, 7)}
 
 
 @pytest.mark.parametrize("crowd", [2, 64])

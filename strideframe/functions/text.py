@@ -56,19 +56,6 @@ def way_class(tags: Column) -> Column:
     return F.when(barred("foot"), 0).otherwise(FOOT) + bike + car + F.when(is_side(tags), SIDE).otherwise(0)
 
 
-def snap(x: Column, step: float) -> Column:
-    return F.floor(x / step + 0.5) * step
-
-
-def distance_text(m: Column) -> Column:
-    """Metric: steps of 5 m under 100 m, of 10 m under 1 km by the rounded value, then km with one decimal under 10."""
-    short = F.when(m < 100, snap(m, 5)).otherwise(snap(m, 10))
-    km = m / 1000
-    tenth = F.floor(km * 10 + 0.5).cast("bigint")
-    long = F.when(tenth < 100, F.format_string("%d.%d km", F.expr("0") + F.floor(tenth / 10).cast("bigint"), tenth % 10)).otherwise(F.format_string("%d km", F.floor(km + 0.5).cast("bigint")))
-    return F.when(m.isNull() | F.isnan(m), "-").when(short < 1000, F.format_string("%d m", short.cast("bigint"))).otherwise(long)
-
-
 def clock(seconds: Column) -> Column:
     return F.format_string("%d:%02d", F.floor(seconds / 60).cast("bigint"), (seconds % 60).cast("bigint"))
 

@@ -142,12 +142,6 @@ def l14_minimum_trips(spark, d):
     return z.select("game", F.array_min(n).alias("trips")).where("trips is not null")
 
 
-@query(f"{ctes('spots')}, m as (select id, {H('40.02','-110.97','lat','lon')} as m from spots) select id, case when s < 1000 then concat(cast(s as bigint), ' m') when t < 100 then concat(t // 10, '.', t % 10, ' km') else concat(cast(floor(m / 1000 + 0.5) as bigint), ' km') end as txt from (select *, floor(m / case when m < 100 then 5 else 10 end + 0.5) * case when m < 100 then 5 else 10 end as s, cast(floor(m / 1000 * 10 + 0.5) as bigint) as t from m)")
-def k01_distance_text(spark, d):
-    m = spots(spark, d).select("id", geo.distance_m(40.02, -110.97, "lat", "lon").alias("m"))
-    return m.select("id", text.distance_text(F.col("m")).alias("txt"))
-
-
 @query("select o_orderkey, concat(cast(floor(o_totalprice) as bigint) // 60, ':', lpad(cast(cast(floor(o_totalprice) as bigint) % 60 as varchar), 2, '0')) as clock, concat(upper(substr(replace(replace(lower(o_orderpriority), '-', '_'), '_', ' '), 1, 1)), substr(replace(replace(lower(o_orderpriority), '-', '_'), '_', ' '), 2)) as word, regexp_replace(o_orderpriority, '[^A-Za-z0-9_-]', '', 'g') as safe from orders")
 def k02_texts(spark, d):
     """Clock, words from an identifier, an identifier from words."""

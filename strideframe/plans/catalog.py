@@ -30,4 +30,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # Each module registers its queries; the order here is the order of the registry.
-from strideframe.plans import cards, details, gaps, headings, journal, mapdata, measures, network, quests, reach, requests, spacing, spatial, tracks  # noqa: E402, F401
+from strideframe.plans import cards, details, gaps, headings, journal, mapdata, measures, network, quests, reach, requests, spacing, spatial, targets, tracks  # noqa: E402, F401

@@ -30,6 +30,8 @@ VOTE = 10_000_000
 WINDOW = 5
 #: Places in a text of fewer words fit beside a hash in one number; a longer text has all its windows compared.
 PLACE_BITS = 24
+#: Slots of a language's common words, a power of two.
+SLOTS = 256
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -39,7 +41,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = text_or_empty(text)
     left = F.length
-    out = docs.withColumn("_sf_w", F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).withColumn("_sf_n", F.length(t))
+    out = docs.withColumn("_sf_w", F.array_remove(F.split(t, "[\\x20\\x09-\\x0D]+"), "")).withColumn("_sf_n", F.length(t))
     out = out.withColumn("_sf_solid", F.length(F.array_join("_sf_w", ""))).withColumn("_sf_r0", F.regexp_replace(t, "[a-z\\x20\\x09-\\x0D]+", ""))
     for k, chars in enumerate(("[A-Z]+", "[0-9]+", "[.,;:!?'\"()-]+", "[\\x00-\\x7F]+"), 1):
         out = out.withColumn(f"_sf_r{k}", F.regexp_replace(f"_sf_r{k - 1}", chars, ""))
@@ -52,16 +54,17 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """features() plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
     lines = F.filter(F.split(text_or_empty(text), "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     out = features(docs, text).withColumn("_sf_lines", lines).withColumn("_sf_h1", F.transform("_sf_w", lambda w: F.xxhash64(w)))
-    # Hashes of two, four and five words in a row: where no five are alike no window repeats, and this is told cheaply.
-    joint = lambda a, b, shift: F.zip_with(a, b, lambda x, y: F.shiftleft(x, shift).bitwiseXOR(y))
+    # Hashes of the first, third and fifth word from each place (null at the last four): where no two are alike no window repeats.
+    joint = lambda a, b: F.zip_with(a, b, lambda x, y: F.shiftleft(x, 1).bitwiseXOR(y))
     size = F.size("_sf_w")
-    from_ = lambda c, k: F.slice(c, k + 1, F.greatest(size - WINDOW + 1, F.lit(0)))
-    out = out.withColumn("_sf_h2", joint(F.col("_sf_h1"), F.slice("_sf_h1", 2, size), 1)).withColumn("_sf_h4", joint(from_("_sf_h2", 0), from_("_sf_h2", 2), 2))
-    out = out.withColumn("_sf_h", joint(F.col("_sf_h4"), from_("_sf_h1", 4), 1))
+    from_ = lambda k: F.slice("_sf_h1", k + 1, F.greatest(size - k, F.lit(0)))
+    out = out.withColumn("_sf_h", joint(joint(F.col("_sf_h1"), from_(2)), from_(WINDOW - 1)))
     # Where some may be, the places of alike hashes are found (sorted as hash and place in one number), and their windows compared.
     place = F.lit((1 << PLACE_BITS) - 1)
-    packed = F.when(size < 1 << PLACE_BITS, F.sort_array(F.transform("_sf_h", lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long")))))
-    out = out.withColumn("_sf_k", F.when(F.size(F.array_distinct("_sf_h")) < F.size("_sf_h"), F.coalesce(packed, F.array().cast("array<bigint>"))))
+    whole = F.slice("_sf_h", 1, F.greatest(size - WINDOW + 1, F.lit(0)))
+    packed = F.when(size < 1 << PLACE_BITS, F.sort_array(F.transform(whole, lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long")))))
+    distinct = F.size(F.array_distinct("_sf_h")) - 1
+    out = out.withColumn("_sf_k", F.when(distinct < size - WINDOW + 1, F.coalesce(packed, F.array().cast("array<bigint>"))))
     alike = lambda x, j: F.coalesce(F.shiftright(x, PLACE_BITS) == F.shiftright(F.get("_sf_k", j), PLACE_BITS), F.lit(False))
     some = F.transform(F.filter("_sf_k", lambda x, j: alike(x, j - 1) | alike(x, j + 1)), lambda x: x.bitwiseAND(place).cast("int"))
     each = F.when(size < 1 << PLACE_BITS, some).otherwise(F.sequence(F.lit(0), size - WINDOW))
@@ -78,7 +81,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("_sf_lines") - F.size(F.array_distinct("_sf_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"),
         }
-    ).drop("_sf_lines", "_sf_h1", "_sf_h2", "_sf_h4", "_sf_h", "_sf_k", "_sf_s", "_sf_p")
+    ).drop("_sf_lines", "_sf_h1", "_sf_h", "_sf_k", "_sf_s", "_sf_p")
 
 
 def references(docs: DataFrame, n_common: int = 32, longest: int = 6, min_chars: int = 200, min_words: int = 40, min_docs: int = 20, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -90,17 +93,23 @@ def references(docs: DataFrame, n_common: int = 32, longest: int = 6, min_chars:
     rows = features(docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull()))
     # No filter on what is computed: it would be computed twice.
     taught = (F.col("_sf_n") >= min_chars) & (F.size("_sf_w") >= min_words)
-    part = lambda k: F.sum(F.when(taught, F.floor(F.get("_sf_chars", F.lit(k)) * VOTE / F.col("_sf_n")))).cast("double")
-    by_class = rows.groupBy("lang").agg(F.count_if(taught).alias("n_docs"), F.array(*map(part, range(N_CLASSES))).alias("_sf_sums")).where(F.col("n_docs") >= min_docs)
-    total = F.aggregate("_sf_sums", F.lit(0.0), lambda a, b: a + b)
-    by_class = by_class.select("lang", "n_docs", F.transform("_sf_sums", lambda s: s / total).alias("chars"))
-    short = F.filter("_sf_w", lambda w: F.length(w) <= longest)
-    votes = rows.select("lang", F.floor(F.lit(VOTE) / F.size("_sf_w")).alias("v"), F.explode(F.when(taught, short)).alias("w")).groupBy("lang", "w").agg(F.sum("v").alias("votes"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("votes"), "w"))
-    common = votes.withColumn("place", place).where(F.col("place") <= n_common)
-    common = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "w", "votes"))).alias("c"))
+    # One pass gives all sums, and no join is there to wait for another pass. Keys that begin with a blank, as no word does, stand
+    # for the classes and, the last, for the document itself.
+    parts = F.array(*(F.floor(F.get("_sf_chars", F.lit(k)) * VOTE / F.col("_sf_n")) for k in range(N_CLASSES)), F.lit(1).cast("long"))
+    keys = F.array(*(F.lit(f" {k}") for k in range(N_CLASSES + 1)))
+    said = rows.select("lang", F.floor(F.lit(VOTE) / F.size("_sf_w")).alias("v"), parts.alias("parts"), F.explode(F.when(taught, F.concat("_sf_w", keys))).alias("w"))
+    beside = F.startswith("w", F.lit(" "))
+    part = F.get("parts", F.substring("w", 2, 9).cast("int"))
+    votes = said.where(beside | (F.length("w") <= longest)).groupBy("lang", "w").agg(F.sum(F.when(beside, part).otherwise(F.col("v"))).alias("votes"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(beside), F.desc("votes"), "w"))
+    best = votes.withColumn("place", place).where(F.col("place") <= n_common + N_CLASSES + 1).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "w", "votes"))).alias("c"))
+    sums = F.array_sort(F.transform(F.slice("c", 1, N_CLASSES + 1), lambda x: F.struct(x["w"], x["votes"])))
+    best = best.select("lang", sums["votes"].alias("s"), F.slice("c", N_CLASSES + 2, n_common).alias("c"))
+    best = best.select("lang", F.get("s", F.lit(N_CLASSES)).alias("n_docs"), F.transform(F.slice("s", 1, N_CLASSES), lambda x: x.cast("double")).alias("s"), "c")
+    best = best.where((F.col("n_docs") >= min_docs) & (F.size("c") > 0))
+    total = F.aggregate("s", F.lit(0.0), lambda a, b: a + b)
     share = F.transform("c.votes", lambda v: v / (F.lit(float(VOTE)) * F.col("n_docs")))
-    return by_class.join(common, "lang").select("lang", "chars", F.col("c.w").alias("common"), share.alias("shares"))
+    return best.select("lang", F.transform("s", lambda x: x / total).alias("chars"), F.col("c.w").alias("common"), share.alias("shares"))
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -124,12 +133,16 @@ def judge(
         raise ValueError("n_common is at most 78, the printable characters that stand for common words")
     docs = docs.drop(*(c for c in docs.columns if c.lower().startswith("_sf_")))
     known = materialize(references(docs, n_common, longest, min_chars, min_words, min_docs, text, lang), "quality-references")
-    known = known.select(F.col("lang").alias("_sf_lang"), F.col("chars").alias("_sf_ref"), F.col("common").alias("_sf_common"), F.col("shares").alias("_sf_shares"))
+    # The common words dealt by hash to slots, so that a word is looked for among one or two.
+    slot = lambda w: F.xxhash64(w).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.filter("common", lambda w: slot(w) == k))
+    slots = F.transform(slots, lambda x: F.when(F.size(x) > 0, x))
+    known = known.select(F.col("lang").alias("_sf_lang"), F.col("chars").alias("_sf_ref"), F.col("common").alias("_sf_common"), F.col("shares").alias("_sf_shares"), slots.alias("_sf_slots"))
     rows = base_counts(docs, text).join(known, F.col(lang) == F.col("_sf_lang"), "left")
     k = F.col("n_words")
     # A character for each common word in the text, so that each one's count is a difference of lengths.
     mark = lambda place: F.char(place + F.lit(47))
-    found = F.transform(F.filter("_sf_w", lambda w: (F.length(w) <= longest) & F.array_contains("_sf_common", w)), lambda w: mark(F.array_position("_sf_common", w)))
+    found = F.transform(F.filter("_sf_w", lambda w: F.array_contains(F.get("_sf_slots", slot(w)), w)), lambda w: mark(F.array_position("_sf_common", w)))
     rows = rows.withColumn("_sf_at", F.array_join(found, ""))
     seen = F.transform("_sf_common", lambda c, i: (F.length("_sf_at") - F.length(F.replace(F.col("_sf_at"), mark(i + 1), F.lit("")))) / k)
     rows = rows.withColumn("_sf_seen", seen)

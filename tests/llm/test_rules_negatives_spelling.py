@@ -73,6 +73,31 @@ def test_divergence_of_documents(spark):
     assert {"the", "of", "and"} <= set(ref.common)
 
 
+def test_references_are_one_pass_without_a_join(spark):
+    rng = random.Random(3)
+    rows = [(prose(rng, 100), lang) for lang in ("en", "de") for _ in range(30)] + [("12345678 " * 60, "no") for _ in range(30)] + [(prose(rng, 100), "few")]
+    refs = quality.references(spark.createDataFrame(rows, "text string, lang string"), n_common=5)
+    plan = refs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("Generate explode") == 1
+    got = {r.lang: r for r in refs.collect()}
+    assert set(got) == {"en", "de"}  # "no" has no short words, "few" too few documents
+    for lang, r in got.items():
+        votes, classes = Counter(), [0] * 7
+        for t in (t for t, k in rows if k == lang):
+            words = t.split()
+            votes.update({w: 10_000_000 // len(words) * n for w, n in Counter(w for w in words if len(w) <= 6).items()})
+            for k, n in enumerate((len("".join(words)), t.count(" "))):
+                classes[k] += math.floor(n * 10_000_000 / len(t))
+        best = sorted(votes.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert r.common == [w for w, _ in best] and r.shares == [v / (1e7 * 30) for _, v in best] and r.chars == [c / sum(classes) for c in classes]
+
+
+def test_windows_alike_in_three_places_alone_are_not_repeats(spark):
+    texts = ["a b c d e x a y c z e", "a b c d e x a b c d e y a q c r e", "a b c d", "a b c d e"]
+    out = quality.base_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r.text: r.n_repeat_words for r in out} == {t: slow_counts(t)[4] for t in texts}
+
+
 # Hard negatives
 
 

@@ -95,9 +95,9 @@ def references(docs: DataFrame, n_common: int = 32, longest: int = 6, min_chars:
     taught = (F.col("_sf_n") >= min_chars) & (F.size("_sf_w") >= min_words)
     # One pass gives all sums, and no join is there to wait for another pass. Keys that begin with a blank, as no word does, stand
     # for the classes and, the last, for the document itself.
-    parts = F.array(*(F.floor(F.get("_sf_chars", F.lit(k)) * VOTE / F.col("_sf_n")) for k in range(N_CLASSES)), F.lit(1).cast("long"))
+    parts = F.array(*(F.floor(F.get("_sf_chars", F.lit(k)) * VOTE / F.nullif(F.col("_sf_n"), F.lit(0))) for k in range(N_CLASSES)), F.lit(1).cast("long"))
     keys = F.array(*(F.lit(f" {k}") for k in range(N_CLASSES + 1)))
-    said = rows.select("lang", F.floor(F.lit(VOTE) / F.size("_sf_w")).alias("v"), parts.alias("parts"), F.explode(F.when(taught, F.concat("_sf_w", keys))).alias("w"))
+    said = rows.select("lang", F.floor(F.lit(VOTE) / F.nullif(F.size("_sf_w"), F.lit(0))).alias("v"), parts.alias("parts"), F.explode(F.when(taught, F.concat("_sf_w", keys))).alias("w"))
     beside = F.startswith("w", F.lit(" "))
     part = F.get("parts", F.substring("w", 2, 9).cast("int"))
     votes = said.where(beside | (F.length("w") <= longest)).groupBy("lang", "w").agg(F.sum(F.when(beside, part).otherwise(F.col("v"))).alias("votes"))
@@ -145,9 +145,10 @@ def judge(
     found = F.transform(F.filter("_sf_w", lambda w: F.array_contains(F.get("_sf_slots", slot(w)), w)), lambda w: mark(F.array_position("_sf_common", w)))
     rows = rows.withColumn("_sf_at", F.array_join(found, ""))
     seen = F.transform("_sf_common", lambda c, i: (F.length("_sf_at") - F.length(F.replace(F.col("_sf_at"), mark(i + 1), F.lit("")))) / k)
-    rows = rows.withColumn("_sf_seen", seen)
+    # Computed for every row, and a division by zero is an error: a text without words has no shares.
+    rows = rows.withColumn("_sf_seen", F.when(k > 0, seen))
     compared = (F.col("_sf_n") >= min_chars) & (k >= min_words)
-    rows = rows.withColumn("_sf_cd", F.when(compared, divergence(F.transform("_sf_chars", lambda c: c / F.col("_sf_n")), F.col("_sf_ref"))))
+    rows = rows.withColumn("_sf_cd", F.when(compared, divergence(F.transform("_sf_chars", lambda c: c / F.nullif(F.col("_sf_n"), F.lit(0))), F.col("_sf_ref"))))
     rows = rows.withColumn("_sf_wd", F.when(compared, divergence(_rest(F.col("_sf_seen")), _rest(F.col("_sf_shares")))))
     strays = lambda classes, n: (classes - 1) / (8 * math.log(2) * n)  # noqa: E731  the mean divergence of n draws from the reference
     odd = (F.col("_sf_cd") > most_chars**2 + strays(N_CLASSES, F.col("_sf_n"))) | (F.col("_sf_wd") > most_words**2 + strays(F.size("_sf_common") + 1, k))

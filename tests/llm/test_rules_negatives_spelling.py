@@ -98,6 +98,14 @@ def test_windows_alike_in_three_places_alone_are_not_repeats(spark):
     assert {r.text: r.n_repeat_words for r in out} == {t: slow_counts(t)[4] for t in texts}
 
 
+def test_texts_without_words_in_a_language_with_references(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 100), "en") for i in range(30)] + [(100, "", "en"), (101, None, "en"), (102, " \n\t ", "en")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == 33 and got[0].word_distance is not None
+    assert all((r.n_words, r.base_failed, r.kept, r.char_distance, r.word_distance) == (0, True, False, None, None) for i, r in got.items() if i >= 100)
+
+
 # Hard negatives
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from strideframe.functions import geo
 
 
-def _height(cell_m: float) -> float:
+def _height(cell_m):
     return cell_m / geo.M_PER_DEG * 1.001
 
 
@@ -28,21 +28,21 @@ def _column(lon: Column, columns: Column) -> Column:
     return F.floor((lon + 180.0) / 360.0 * columns)
 
 
-def cell_of(rows: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def cell_of(rows: DataFrame, radius_m: float | Column, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """rows plus their cell (_sf_i, _sf_j): as high as the radius and, in each row of cells, about as wide."""
     height = _height(radius_m)
     i = F.floor(F.col(lat) / height)
     return rows.withColumn("_sf_i", i).withColumn("_sf_j", F.pmod(_column(F.col(lon), _columns(F.col("_sf_i"), height)), _columns(F.col("_sf_i"), height)).cast("bigint"))
 
 
-def cells_in_reach(rows: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def cells_in_reach(rows: DataFrame, radius_m: float | Column, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """rows once for each cell (_sf_i, _sf_j) that a point within radius_m may have."""
     height = _height(radius_m)
     at, lo = F.col(lat), F.col(lon)
     row = F.floor(at / height)
     out = rows.withColumn("_sf_i", F.explode(F.sequence(row - 1, row + 1)))
     # How far in longitude the radius reaches from that latitude; all round where a pole is within it.
-    sine = math.sin(min(math.pi / 2, radius_m / geo.EARTH_RADIUS_M)) * 1.001 / F.greatest(F.lit(1e-12), F.cos(F.radians(at)))
+    sine = F.sin(F.least(F.lit(math.pi / 2), F.lit(radius_m) / geo.EARTH_RADIUS_M)) * 1.001 / F.greatest(F.lit(1e-12), F.cos(F.radians(at)))
     n = _columns(F.col("_sf_i"), height)
     reach = F.when(sine >= 1.0, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sine))))
     columns = F.when(reach * 2 >= 360.0 * (1 - 2 / n), F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.transform(F.sequence(_column(lo - reach, n).cast("bigint"), _column(lo + reach, n).cast("bigint")), lambda c: F.pmod(c, n.cast("bigint"))))
@@ -84,6 +84,70 @@ def nearest(pairs: DataFrame, keys: list[str], k: int = 1, tie: str = "r_id") ->
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _levels(radius_m: float) -> list[float]:
+    """The radius, half of it and so on, down to about a metre."""
+    out = [radius_m]
+    while out[-1] > 2 and len(out) < 12:
+        out.append(out[-1] / 2)
+    return out
+
+
+def _at_levels(rows: DataFrame, levels: list[float], lat: str, lon: str) -> DataFrame:
+    """rows once for each level, with their cell of that level."""
+    each = rows.withColumn("_sf_level", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1))))
+    return cell_of(each, F.get(F.array(*map(F.lit, levels)), F.col("_sf_level")), lat, lon)
+
+
+def _bounded(left: DataFrame, placed: DataFrame, levels: list[float], k: int, by: list[str], lat: str, lon: str) -> DataFrame:
+    """left plus _sf_bound: k rows of placed at least are within so many metres (null: not known).
+
+    A cell with k rows bounds the distance by its own rows' extent, wherever in the cell a row of left is: along the meridian,
+    then along the row's own parallel. The least bound of all levels counts. Positions are looked up once each.
+    """
+    cell = ["_sf_level", "_sf_i", "_sf_j", *by]
+    full = placed.groupBy(*cell).agg(F.count("*").alias("_sf_n"), *(f(c).alias(f"_sf_{n}_{x}") for c, x in ((lat, "lat"), (lon, "lon")) for f, n in ((F.min, "lo"), (F.max, "hi")))).where(F.col("_sf_n") >= k)
+    at = _at_levels(left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(lat, lon, *by).distinct(), levels, lat, lon)
+    off = lambda c, x: F.greatest(F.abs(F.col(f"_sf_lo_{x}") - F.col(c)), F.abs(F.col(f"_sf_hi_{x}") - F.col(c)))
+    bound = (off(lat, "lat") + off(lon, "lon") * F.cos(F.radians(lat))) * (math.pi / 180 * geo.EARTH_RADIUS_M * (1 + 1e-9)) + 1e-6
+    known = at.join(full, cell).groupBy(lat, lon, *by).agg(F.min(bound).alias("_sf_bound"))
+    return left.join(known, [lat, lon, *by], "left").select(*left.columns, "_sf_bound")
+
+
+def nearest_within(left: DataFrame, right: DataFrame, radius_m: float, keys: list[str], k: int = 1, tie: str = "id", by: list[str] = [], lat: str = "lat", lon: str = "lon") -> DataFrame:  # noqa: B006
+    """nearest(radius_join(left, right, radius_m), keys, k, r_tie) without its pairs; by: columns that are equal on both sides.
+
+    Cells of half, a quarter and so on of the radius say how near k rows are at most, so that each row of left is joined at the
+    finest level that holds its k nearest: pairs are some dozens a row, however dense right is. Of right's rows on one spot the
+    first k count.
+    """
+    levels = _levels(radius_m)
+    spot = Window.partitionBy(lat, lon, *by).orderBy(tie)
+    own = right.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_sf_n", F.row_number().over(spot)).where(F.col("_sf_n") <= k).drop("_sf_n")
+    placed = _at_levels(own, levels, lat, lon)
+    a = _bounded(left, placed, levels, k, by, lat, lon)
+    level = F.lit(0)
+    for i, r in enumerate(levels):
+        level = F.when(F.col("_sf_bound") <= r, i).otherwise(level)
+    a = a.withColumn("_sf_level", level)
+    a = cells_in_reach(a, F.get(F.array(*map(F.lit, levels)), F.col("_sf_level")), lat, lon)
+    b = placed.select("_sf_level", "_sf_i", "_sf_j", *by, *(F.col(c).alias(f"r_{c}") for c in right.columns))
+    pairs = a.join(b, ["_sf_level", "_sf_i", "_sf_j", *by]).withColumn("dist_m", F.explode(F.array(geo.distance_m(lat, lon, f"r_{lat}", f"r_{lon}"))))
+    pairs = pairs.where(F.col("dist_m") <= F.least(F.lit(float(radius_m)), F.col("_sf_bound")))
+    return nearest(pairs.select(*left.columns, *(f"r_{c}" for c in right.columns), "dist_m"), keys, k, f"r_{tie}")
+
+
+def with_near(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
+    """left's rows with a row of right within radius_m: most are known by a row in their own cell; the others are looked up."""
+    levels = _levels(radius_m)
+    spots = right.where("lat is not null and lon is not null").select("lat", "lon").distinct()
+    a = _bounded(left, _at_levels(spots, levels, "lat", "lon"), levels, 1, [], "lat", "lon")
+    known = F.coalesce(F.col("_sf_bound") <= radius_m, F.lit(False))
+    b = cells_in_reach(spots.select(F.col("lat").alias("_sf_lat"), F.col("lon").alias("_sf_lon")), radius_m, "_sf_lat", "_sf_lon").withColumnsRenamed({"_sf_i": "_sf_ri", "_sf_j": "_sf_rj"})
+    near = (F.col("_sf_i") == F.col("_sf_ri")) & (F.col("_sf_j") == F.col("_sf_rj")) & (geo.distance_m("lat", "lon", "_sf_lat", "_sf_lon") <= radius_m)
+    rest = cell_of(a.where(~known), radius_m).join(b, near, "left_semi")
+    return a.where(known).select(*left.columns).unionByName(rest.select(*left.columns))
+
+
 def segment_join(points: DataFrame, segments: DataFrame, radius_m: float, cell_m: float = 250.0) -> DataFrame:
     """points x segments (seg, a_lat, a_lon, b_lat, b_lon) within radius_m; plus dist_m.
 

@@ -37,7 +37,7 @@ def c05_radius_join(spark, d):
 
 @query(f"{ctes('places', 'spots')}, r as (select p.id, s.id as r_id, {H('p.lat','p.lon','s.lat','s.lon')} as dist_m from places p join spots s on abs(p.lat - s.lat) < 0.02), k as (select *, row_number() over (partition by id order by dist_m, r_id) as rank from r where dist_m <= 800) select id, r_id, rank, round(dist_m, 4) as dist_m from k where rank <= 3")
 def c06_nearest_three(spark, d):
-    near = J.nearest(J.radius_join(places(spark, d), spots(spark, d), 800), ["id"], 3)
+    near = J.nearest_within(places(spark, d), spots(spark, d), 800, ["id"], 3)
     return near.select("id", "r_id", F.col("rank").cast("bigint").alias("rank"), F.round("dist_m", 4).alias("dist_m"))
 
 

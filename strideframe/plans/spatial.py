@@ -63,9 +63,9 @@ def c08_near_flag(spark, d):
 @query(f"{ctes('spots', 'places')}, r as (select s.id, p.id as r_id, {INSIDE.format(lat='s.lat', lon='s.lon')} as inside, {H('p.lat','p.lon','s.lat','s.lon')} as dist_m from spots s join places p on abs(p.lat - s.lat) < 0.02), k as (select *, row_number() over (partition by id order by case when inside then 0 else 1 end, dist_m, r_id) as n from r where dist_m <= 500) select id, r_id, inside from k where n = 1")
 def c09_area_snap(spark, d):
     """Points in the area first, then the nearest."""
-    r = J.radius_join(spots(spark, d), places(spark, d), 500).withColumn("inside", geo.point_in_polygon("lat", "lon", ring()))
-    w = Window.partitionBy("id").orderBy(F.when(F.col("inside"), 0).otherwise(1), "dist_m", "r_id")
-    return r.withColumn("n", F.row_number().over(w)).where("n = 1").select("id", "r_id", "inside")
+    # Inside or not is of the point, the same for all that is near it, so its nearest is its first.
+    r = J.nearest_within(spots(spark, d), places(spark, d), 500, ["id"])
+    return r.select("id", "r_id", geo.point_in_polygon("lat", "lon", ring()).alias("inside"))
 
 
 @query(f"{ctes('fixes')} select id from fixes where {INSIDE.format(lat='lat', lon='lon')}")

@@ -56,7 +56,7 @@ def c06_nearest_on_segments(spark, d):
 @query(f"{ctes('spots', 'places')} select s.id, exists(select 1 from places p where abs(p.lat - s.lat) < 0.01 and {H('p.lat','p.lon','s.lat','s.lon')} <= 300) as near from spots s")
 def c08_near_flag(spark, d):
     """Whether any place is within 300 m: a semi-join whose share is the share of samples near a path."""
-    near = J.radius_join(spots(spark, d), places(spark, d), 300).select("id").distinct().withColumn("near", F.lit(True))
+    near = J.with_near(spots(spark, d), places(spark, d), 300).select("id").distinct().withColumn("near", F.lit(True))
     return spots(spark, d).select("id").join(near, "id", "left").select("id", F.coalesce("near", F.lit(False)).alias("near"))
 
 

@@ -137,8 +137,8 @@ def c16_anti_join(spark, d):
 @query(f"""{ctes('places', 'spots')}, r as (select p.id, s.id as r_id, {H('p.lat','p.lon','s.lat','s.lon')} as dist_m from places p join spots s on p.k % 7 = s.k % 7 and abs(p.lat - s.lat) < 0.01), k as (select *, row_number() over (partition by id order by dist_m, r_id) as n from r where dist_m <= 600) select id, r_id from k where n = 1""")
 def c17_relink(spark, d):
     """The nearest of the same kind within 600 m."""
-    pairs = J.radius_join(places(spark, d).withColumn("kind", F.col("k") % 7), spots(spark, d).withColumn("kind", F.col("k") % 7), 600).where("kind = r_kind")
-    return J.nearest(pairs, ["id"]).select("id", "r_id")
+    kind = (F.col("k") % 7).alias("kind")
+    return J.nearest_within(places(spark, d).select("*", kind), spots(spark, d).select("*", kind), 600, ["id"], by=["kind"]).select("id", "r_id")
 
 
 @query(f"{ctes('places')}, t as (select distinct cast(floor(lat/0.02) as int) as row, cast(floor(lon/0.02) as int) as col from places) select row, col, job, n from t cross join (values ('places', 0), ('streets', 1), ('geometry', 2)) j(job, n)")

@@ -48,7 +48,7 @@ def test_nearest_within_of_nothing(spark):
     assert joins.with_near(some, some.limit(0), 100.0).count() == 0 and joins.with_near(some, some, 0.5).count() == 1
 
 
-@pytest.mark.parametrize("name", ["c06_nearest_three", "c09_area_snap", "c08_near_flag"])
+@pytest.mark.parametrize("name", ["c06_nearest_three", "c09_area_snap", "c08_near_flag", "c17_relink"])
 def test_queries_of_what_is_nearest_make_no_pairs(spark, monkeypatch, name):
     def refuse(*_, **__):
         raise AssertionError("a join of all that is within the radius")

@@ -201,13 +201,26 @@ def _metres(pairs: DataFrame) -> DataFrame:
 
 
 def polygon_join(points: DataFrame, areas: DataFrame, ring: str = "ring") -> DataFrame:
-    """points x areas that hold them, by tiles: areas go to the tiles of their box. Boxes must not cross longitude 180."""
-    n = 1 / geo.TILE_DEG
-    low = lambda f: F.floor(F.array_min(F.transform(ring, lambda p: p[f])) * n)
-    high = lambda f: F.floor(F.array_max(F.transform(ring, lambda p: p[f])) * n)
-    cells = areas.withColumn("_sf_i", F.explode(F.sequence(low("lat"), high("lat")))).withColumn("_sf_j", F.explode(F.sequence(low("lon"), high("lon"))))
-    placed = points.withColumn("_sf_i", F.floor(F.col("lat") * n)).withColumn("_sf_j", F.floor(F.col("lon") * n))
-    return placed.join(cells, ["_sf_i", "_sf_j"]).where(geo.point_in_polygon("lat", "lon", F.col(ring))).drop("_sf_i", "_sf_j")
+    """points x areas that hold them, by cells: areas go to those of their box. Boxes must not cross longitude 180.
+
+    Cells are tiles, or a half, a quarter and so on of them, so that a box has few and a small one no large cell's points; points
+    go to one cell of each size that areas have.
+    """
+    edge = lambda of, f: of(F.transform(ring, lambda p: p[f]))
+    box = areas.withColumns({"_sf_s": edge(F.array_min, "lat"), "_sf_n": edge(F.array_max, "lat"), "_sf_w": edge(F.array_min, "lon"), "_sf_e": edge(F.array_max, "lon")})
+    size = F.greatest(F.col("_sf_n") - F.col("_sf_s"), F.col("_sf_e") - F.col("_sf_w"))
+    finest = 12
+    level = F.lit(0)
+    for k in range(1, finest + 1):
+        level = F.when(size <= geo.TILE_DEG / 2**k, k).otherwise(level)
+    box = box.withColumn("_sf_level", level)
+    levels = sorted(r[0] for r in box.select("_sf_level").distinct().collect())
+    n = F.pow(F.lit(2.0), F.col("_sf_level")) / geo.TILE_DEG
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) * n), F.floor(F.col(b) * n)))
+    cells = box.withColumn("_sf_i", span("_sf_s", "_sf_n")).withColumn("_sf_j", span("_sf_w", "_sf_e"))
+    placed = points.withColumn("_sf_level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("_sf_i", F.floor(F.col("lat") * n)).withColumn("_sf_j", F.floor(F.col("lon") * n))
+    pairs = placed.join(cells, ["_sf_level", "_sf_i", "_sf_j"]).where(F.col("lat").between(F.col("_sf_s"), F.col("_sf_n")) & F.col("lon").between(F.col("_sf_w"), F.col("_sf_e")))
+    return pairs.where(geo.point_in_polygon("lat", "lon", F.col(ring))).select(*points.columns, *areas.columns)
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], first_before: bool = False) -> DataFrame:

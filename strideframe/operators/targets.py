@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import geo
 from strideframe.operators import joins
+from strideframe.operators.graph import _written
+from strideframe.operators.segments import nearest_segments
 
 #: What is near a path, how far quests keep apart, the least share of a line and its least length, a line's pace.
 NEAR_PATH_M, SPACING_M, LEAST_SHARE, LEAST_LINE_M, LINE_PACE = 30.0, 40.0, 0.25, 150.0, 0.8
@@ -35,11 +37,39 @@ def _in_areas(areas: DataFrame, spots: DataFrame, id: str, edge_m: float) -> Dat
     return inside.unionByName(beside)
 
 
+#: Spots that are looked at for each area before all that are inside it, and how far.
+FIRST_SPOTS, FIRST_M = 8, 250.0
+
+
+def _inside(areas: DataFrame, at: DataFrame, id: str, home: tuple[float, float], least_m: float) -> DataFrame:
+    """(id, lat, lon, m): the spot inside the ring of each area (id, lat, lon, ring) that is nearest to lat and lon.
+
+    Mostly one of the first few near there, and then no other can be nearer; where none of these fits all spots inside count.
+    """
+    fits = geo.point_in_polygon("r_lat", "r_lon", F.col("ring")) & _far("r_lat", "r_lon", home, least_m)
+    m = F.round(geo.distance_m("lat", "lon", "r_lat", "r_lon"), 6)
+    first = joins.nearest_within(areas.select(id, "lat", "lon", "ring"), at, FIRST_M, [id], FIRST_SPOTS, "lat").select(id, m.alias("m"), fits.alias("fits"), F.col("r_lat").alias("lat"), F.col("r_lon").alias("lon"))
+    first = first.groupBy(id).agg(F.min(F.when(F.col("fits"), F.struct("m", "lat", "lon"))).alias("p"), F.max("m").alias("last"), F.count("*").alias("n"))
+    # One that was not looked at may be as near, in six digits, as the last of the first.
+    sure = F.col("p.m") < F.when(F.col("n") < FIRST_SPOTS, FIRST_M - 1e-3).otherwise(F.col("last"))
+    first = _written(first.where(sure).select(id, "p.lat", "p.lon", "p.m"), "inside-first")
+    rest = areas.join(first, id, "left_anti").select(F.col(id).alias("_sf_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "ring")
+    every = joins.polygon_join(at, rest).where(_far("lat", "lon", home, least_m)).withColumn("m", F.round(geo.distance_m("p_lat", "p_lon", "lat", "lon"), 6))
+    every = every.groupBy(F.col("_sf_id").alias(id)).agg(F.min(F.struct("m", "lat", "lon")).alias("p")).select(id, "p.lat", "p.lon", "p.m")
+    return first.unionByName(every)
+
+
+def _beside(areas: DataFrame, at: DataFrame, id: str, edge_m: float, home: tuple[float, float], least_m: float) -> DataFrame:
+    """(id, lat, lon, m): the spot at most edge_m from the edges of each area (id, lat, lon, ring) that is nearest to lat and lon."""
+    found = joins.segment_join(at, _edges(areas, id), edge_m).where(_far("lat", "lon", home, least_m)).select(F.col("seg").alias(id), "lat", "lon")
+    found = found.join(areas.select(id, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), id)
+    return found.select(id, "lat", "lon", F.round(geo.distance_m("p_lat", "p_lon", "lat", "lon"), 6).alias("m")).groupBy(id).agg(F.min(F.struct("m", "lat", "lon")).alias("p")).select(id, "p.lat", "p.lon", "p.m")
+
+
 def _on_paths(places: DataFrame, paths: DataFrame, id: str, near_m: float) -> DataFrame:
     """(id, lat, lon): the place on a path that is nearest to each place, within near_m; ties by the path's id."""
-    found = joins.segment_join(places.select(id, "lat", "lon"), paths.select("seg", "a_lat", "a_lon", "b_lat", "b_lon"), near_m)
-    on = geo.closest_on_segment("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")
-    return found.groupBy(id).agg(F.min_by(on, F.struct(F.round("dist_m", 6), "seg")).alias("p")).select(id, "p.lat", "p.lon")
+    found = nearest_segments(places.select(id, "lat", "lon"), paths.select("seg", "a_lat", "a_lon", "b_lat", "b_lon"), near_m, [id], 1, digits=6)
+    return found.select(id, geo.closest_on_segment("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon").alias("p")).select(id, "p.lat", "p.lon")
 
 
 def settle(places: DataFrame, paths: DataFrame, spots: DataFrame, home: tuple[float, float], least_m: float = 0.0, id: str = "id", near_m: float = NEAR_PATH_M) -> DataFrame:
@@ -72,11 +102,15 @@ def settle_areas(areas: DataFrame, paths: DataFrame, spots: DataFrame, home: tup
     """
     # From an array of one, so that the middle is computed once an area and its formula isn't spelled out wherever it is read.
     middles = areas.where(F.size("ring") >= 3).select(id, "ring", F.explode(F.array(geo.point_inside(F.col("ring")))).alias("p")).select(id, "ring", "p.lat", "p.lon")
-    near = joins.segment_join(middles.select(id, "lat", "lon"), paths.select("seg", "a_lat", "a_lon", "b_lat", "b_lon"), near_m).select(id, "lat", "lon").distinct()
-    spots_ = _in_areas(middles, spots, id, near_m).join(middles.select(id, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), id)
-    spots_ = spots_.select(id, "lat", "lon", (F.col("outside") * 2).alias("outside"), F.round(geo.distance_m("p_lat", "p_lon", "lat", "lon"), 6).alias("m"))
-    both = spots_.unionByName(near.select(id, "lat", "lon", F.lit(1).alias("outside"), F.lit(0.0).alias("m")))
-    return _first(both.where(_far("lat", "lon", home, least_m)), id, {0: "inside", 1: "middle", 2: "edge"})
+    middles = _written(middles, "middles")
+    at = spots.select("lat", "lon").where("lat is not null and lon is not null").distinct()
+    # Each step is for those that the ones before leave.
+    inside = _written(_inside(middles, at, id, home, least_m).select(id, "lat", "lon", F.lit("inside").alias("how")), "inside")
+    rest = _written(middles.join(inside, id, "left_anti"), "middles")
+    near = nearest_segments(rest.select(id, "lat", "lon").where(_far("lat", "lon", home, least_m)), paths.select("seg", "a_lat", "a_lon", "b_lat", "b_lon"), near_m, [id])
+    near = _written(near.select(id, "lat", "lon", F.lit("middle").alias("how")), "near-middles")
+    beside = _beside(rest.join(near, id, "left_anti"), at, id, near_m, home, least_m).select(id, "lat", "lon", F.lit("edge").alias("how"))
+    return inside.unionByName(near).unionByName(beside)
 
 
 def lines_from_paths(lines: DataFrame, paths: DataFrame, id: str = "id", step_m: float = 10.0, near_m: float = NEAR_PATH_M) -> DataFrame:

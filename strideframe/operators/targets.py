@@ -29,14 +29,6 @@ def _edges(areas: DataFrame, id: str) -> DataFrame:
     return areas.select(F.col(id).alias("seg"), F.explode(F.transform("ring", edge)).alias("e")).select("seg", "e.*")
 
 
-def _in_areas(areas: DataFrame, spots: DataFrame, id: str, edge_m: float) -> DataFrame:
-    """(id, lat, lon, outside): spots inside the rings (outside = 0) and those at most edge_m from their edges (1)."""
-    at = spots.select("lat", "lon").where("lat is not null and lon is not null").distinct()
-    inside = joins.polygon_join(at, areas.select(F.col(id).alias("_sf_id"), "ring")).select(F.col("_sf_id").alias(id), "lat", "lon", F.lit(0).alias("outside"))
-    beside = joins.segment_join(at, _edges(areas, id), edge_m).select(F.col("seg").alias(id), "lat", "lon", F.lit(1).alias("outside"))
-    return inside.unionByName(beside)
-
-
 #: Spots that are looked at for each area before all that are inside it, and how far.
 FIRST_SPOTS, FIRST_M = 8, 250.0
 
@@ -81,17 +73,13 @@ def settle(places: DataFrame, paths: DataFrame, spots: DataFrame, home: tuple[fl
     then the western spot.
     """
     own = places.where("lat is not null and lon is not null")
-    first = _on_paths(own, paths, id, near_m).select(id, "lat", "lon", F.lit(-1).alias("outside"), F.lit(0.0).alias("m"))
-    areas = own.where(F.size("ring") >= 3)
-    rest = _in_areas(areas, spots, id, near_m).join(areas.select(id, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), id)
-    rest = rest.select(id, "lat", "lon", "outside", F.round(geo.distance_m("p_lat", "p_lon", "lat", "lon"), 6).alias("m"))
-    return _first(first.unionByName(rest).where(_far("lat", "lon", home, least_m)), id, {-1: "path", 0: "inside", 1: "edge"})
-
-
-def _first(candidates: DataFrame, id: str, names: dict[int, str]) -> DataFrame:
-    best = candidates.groupBy(id).agg(F.min(F.struct("outside", "m", "lat", "lon")).alias("p"))
-    how = F.coalesce(*(F.when(F.col("p.outside") == k, v) for k, v in names.items()))
-    return best.select(id, "p.lat", "p.lon", how.alias("how"))
+    at = spots.select("lat", "lon").where("lat is not null and lon is not null").distinct()
+    # Each step is for those that the ones before leave.
+    first = _written(_on_paths(own, paths, id, near_m).where(_far("lat", "lon", home, least_m)).withColumn("how", F.lit("path")), "on-paths")
+    areas = _written(own.where(F.size("ring") >= 3).select(id, "lat", "lon", "ring").join(first, id, "left_anti"), "areas")
+    inside = _written(_inside(areas, at, id, home, least_m).select(id, "lat", "lon", F.lit("inside").alias("how")), "inside")
+    beside = _beside(areas.join(inside, id, "left_anti"), at, id, near_m, home, least_m).select(id, "lat", "lon", F.lit("edge").alias("how"))
+    return first.unionByName(inside).unionByName(beside)
 
 
 def settle_areas(areas: DataFrame, paths: DataFrame, spots: DataFrame, home: tuple[float, float], least_m: float = 0.0, id: str = "id", near_m: float = NEAR_PATH_M) -> DataFrame:

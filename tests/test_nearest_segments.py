@@ -31,7 +31,7 @@ def test_nearest_segments_equal_the_join(spark, monkeypatch, lat, lon, held):
     assert segments.nearest_segments(df.limit(0), sf, 50.0, ["id"]).count() == segments.nearest_segments(df, sf.limit(0), 50.0, ["id"]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["c06_nearest_on_segments", "l05_settled_areas"])
+@pytest.mark.parametrize("name", ["c06_nearest_on_segments", "l05_settled", "l05_settled_areas"])
 def test_queries_of_near_segments_make_no_pairs(spark, monkeypatch, name):
     whole = joins.segment_join
 

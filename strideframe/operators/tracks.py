@@ -1,12 +1,15 @@
-"""Track operators that look both ways along one track: smoothing and turns. One Python group is one track."""
+"""Track operators that look both ways along one track, held whole: smoothing and turns."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strideframe.functions.geo import M_PER_DEG
 
@@ -82,12 +85,29 @@ def turns(t_ms, lat, lon, reach_m: float = 10.0, sharp_deg: float = 60.0, apart_
 
 
 def detect_turns(track: DataFrame, keys: list[str], **how) -> DataFrame:
-    """(*keys, t_ms, bend_deg)"""
+    """(*keys, t_ms, bend_deg). Tracks pass through sorted, one at a time; short ones in great number cost no group each."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_ms", "lat", "lon"])
-        rows = turns(pdf["t_ms"].tolist(), pdf["lat"].tolist(), pdf["lon"].tolist(), **how)
-        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), *r) for r in rows], columns=[*keys, "t_ms", "bend_deg"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, types = None, [], None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * (len(keys) + 2)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [*types, pa.int64(), pa.float64()])], names=[*keys, "t_ms", "bend_deg"])
+
+        def done() -> list[tuple]:
+            return [(*now, *r) for r in turns(*zip(*own), **how)] if own else []
+
+        for batch in batches:
+            types, rows = [batch.schema.field(k).type for k in keys], []
+            for *key, t, lat, lon in zip(*(batch.column(c).to_pylist() for c in (*keys, "t_ms", "lat", "lon"))):
+                if key != now:
+                    rows += done()
+                    now, own = key, []
+                own.append((t, math.nan if lat is None else lat, math.nan if lon is None else lon))
+            yield out(rows)
+        if own:
+            yield out(done())
 
     types = dict(track.dtypes)
-    return track.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "t_ms bigint, bend_deg double"]))
+    rows = track.select(*keys, "t_ms", "lat", "lon").repartition(*keys).sortWithinPartitions(*keys, *(F.asc_nulls_last(c) for c in ("t_ms", "lat", "lon")))
+    return rows.mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "t_ms bigint, bend_deg double"]))

@@ -23,3 +23,11 @@ def test_turns_of_many_tracks_without_a_group_each(spark):
     key = lambda r: (r[0] or 0, *r[1:])
     assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key) and len(want) > 100
     assert tracks.detect_turns(df.limit(0), ["way", "kind"]).count() == 0
+
+
+def test_a_ring_and_its_middle_are_spelled_out_once(spark):
+    rings = spark.range(3).select(F.transform(F.sequence(F.lit(0), F.col("id").cast("int") + 2), lambda i: F.struct((F.sin(i * 40.0) * i).alias("lat"), F.cos(i * 40.0).alias("lon"))).alias("ring"))
+    at = geo.point_inside(F.transform("ring", lambda p: F.struct(p["lat"].alias("lat"), (p["lon"] + 7.5).alias("lon"))))
+    plan = rings.select(at.alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("7.5") == 1
+    assert all(math.isfinite(r.p.lat) for r in rings.select(at.alias("p")).collect())

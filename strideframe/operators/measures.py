@@ -60,7 +60,8 @@ def loose_ends(segments: DataFrame, loose: str = "loose", join_m: float = 12.0)
     ends = segments.select(F.inline(F.array(*(F.struct(F.col(x).alias("node"), F.col(f"{x}_lat").alias("lat"), F.col(f"{x}_lon").alias("lon"), F.col(y).alias("other"), F.col(loose).alias("loose")) for x, y in ("ab", "ba")))))
     nodes = ends.groupBy("node").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.count("*").alias("degree"), F.first("other").alias("other"), F.bool_or("loose").alias("loose"))
     free = nodes.where("degree = 1 and loose").select("node", "lat", "lon", "other")
-    near = J.radius_join(free, nodes.select("node", "lat", "lon"), join_m).where("r_node <> node and r_node <> other")
+    # Of three one at least is neither the node itself nor its other end.
+    near = J.nearest_within(free, nodes.select("node", "lat", "lon"), join_m, ["node"], 3, "node").where("r_node <> node and r_node <> other")
     return near.groupBy("node").agg(F.min(F.struct("dist_m", "r_node")).alias("x")).select("node", F.col("x.r_node").alias("to_node"), F.col("x.dist_m").alias("dist_m"))
 
 

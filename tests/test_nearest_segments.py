@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from strideframe.operators import joins, segments
+from strideframe.operators import joins, matching, segments
 from strideframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +41,19 @@ def test_queries_of_near_segments_make_no_pairs(spark, monkeypatch, name):
 
     monkeypatch.setattr(joins, "segment_join", few)
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_street_spots_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    at = lambda: (40.0 + rng.random() / 500, -111.0 + rng.random() / 500)
+    fixes = spark.createDataFrame([(1, i, *at(), rng.choice([None, 1.0, 9.0])) for i in range(60)], "game int, id int, lat double, lon double, accuracy_m double")
+    streets = spark.createDataFrame([(f"s{i}", *at(), *at()) for i in range(150)], "seg string, a_lat double, a_lon double, b_lat double, b_lon double")
+    every = joins.segment_join(fixes.withColumn("sigma_m", matching.sigma_m()), streets, matching.MOST_RADIUS_M).where("dist_m <= 3 * sigma_m + 10")
+    want = sorted((r.id, r["rank"] - 1, r.seg, r.dist_m) for r in joins.nearest(every, ["game", "id"], 8, "seg").collect())
+
+    def refuse(*_, **__):
+        raise AssertionError("a join of all that is within the radius")
+
+    monkeypatch.setattr(joins, "segment_join", refuse)
+    got = sorted((r.id, r.n, r.seg, r.dist_m) for r in matching.street_spots(fixes, streets, "game").collect())
+    assert got == want and len(got) > 200
